@@ -2,13 +2,13 @@
 
 Plan, for a collection far too large for pairwise comparison:
 
-1. Words are cut and joined in the JVM. Records with the same words form one *class*
-   and only one copy of it goes on, so that a third of all rows being one
-   page costs no more than one row.
-2. One Arrow pass computes ``bands * rows`` MinHash values per class and gives
-   ``(band key, class)``; copies within a task are given once.
-3. One shuffle by band key. Keys held by a single class (nearly all) are dropped
-   inside that shuffle's reduce side; the few others are checkpointed.
+1. One Arrow pass cuts the words. Records with the same words form one *class*; the
+   pass gives ``(record, class)`` and, from ``bands * rows`` MinHash values,
+   ``(band key, class)``. A task gives each class's keys once, so a third of all
+   rows being one page costs one row a task.
+2. One shuffle by key. Band keys held by a single class (nearly all) are dropped on
+   its reduce side; what remains is checkpointed with the memberships.
+3. Each class is represented by its smallest record.
 4. Keys with at most ``bucket_limit`` classes give candidate pairs by an equi-join.
    Classes in fuller buckets go through an exact prefix-filtered set join
    instead, so no bucket is ever expanded pair by pair and no pair is lost.
@@ -21,19 +21,20 @@ Results: ``near_copy_classes`` (one row per record: class, links), ``near_copy_p
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textweir.session import cut
 
-WORD = r"[\p{L}\p{N}]+"
+_WORD = re.compile(r"[^\W_]+")
 
 
 @dataclass(frozen=True)
@@ -65,19 +66,9 @@ class NearCopySpec:
         return best
 
 
-def words(text: Column) -> Column:
-    """Lower-cased maximal runs of letters and digits; null gives null."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-
-
-def _prepared(df: DataFrame, id_col: str, text_col: str, spec: NearCopySpec) -> DataFrame:
-    """(id, norm, fp, fp2) of the records with enough words; other columns are left behind."""
-    return (
-        df.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("_w"))
-        .filter(F.size("_w") >= max(spec.min_words, spec.words_per_shingle))
-        .select("id", F.array_join("_w", " ").alias("norm"))
-        .select("id", "norm", F.xxhash64("norm").alias("fp"), F.xxhash64(F.lit(spec.seed), F.col("norm")).alias("fp2"))
-    )
+def words(text: str) -> list[str]:
+    """Lower-cased maximal runs of letters and digits."""
+    return _WORD.findall(text.lower())
 
 
 def shingle_hashes(word_hashes: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,67 +104,122 @@ class _WordHashes:
         return np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
 
 
-def _band_keys(spec: NearCopySpec):
+def _pass_one(spec: NearCopySpec):
+    """(id, text) -> (key, class, id, member): a member row for each record, band rows for each class."""
     bands, rows = spec.bands_and_rows()
-    width, seed = spec.words_per_shingle, spec.seed
+    width, seed, least = spec.words_per_shingle, spec.seed, max(spec.min_words, spec.words_per_shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
-        multipliers = rng.integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        shifts = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
+        multipliers = rng.integers(0, 2**31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        shifts = rng.integers(0, 2**32, bands * rows, dtype=np.uint32)
         hashes, seen = _WordHashes(), set()
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                texts, fps, fps2 = (batch.column(i).to_pylist() for i in range(3))
                 if len(seen) > 1_000_000:
                     seen.clear()
-                parts, sizes, kept = [], [], []
-                for text, fp, fp2 in zip(texts, fps, fps2):
-                    if (fp, fp2) in seen:
+                ids, classes, parts, sizes, kept = [], [], [], [], []
+                for record, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if text is None or record is None:
                         continue
-                    seen.add((fp, fp2))
-                    tokens = text.split(" ")
-                    parts.append(hashes(tokens))
-                    sizes.append(len(tokens))
-                    kept.append(fp)
+                    tokens = words(text)
+                    if len(tokens) < least:
+                        continue
+                    own = xxhash.xxh3_128_intdigest(" ".join(tokens), seed) >> 1
+                    # The class is 63 bits; the rest of the digest only guards the memberships.
+                    low = own & 0x7FFFFFFFFFFFFFFF
+                    ids.append(record)
+                    classes.append((low, own >> 64))
+                    if own not in seen:
+                        seen.add(own)
+                        parts.append(hashes(tokens))
+                        sizes.append(len(tokens))
+                        kept.append(low)
+                if not ids:
+                    continue
+                member = np.array(classes, dtype=np.int64)
+                spread = np.array([xxhash.xxh64_intdigest(f"{i}") >> 1 for i in ids], dtype=np.int64)
+                yield pa.record_batch([pa.array(spread), pa.array(member[:, 0]), pa.array(member[:, 1]), pa.array(ids, pa.int64())], names=["key", "fp", "fp2", "id"])
                 if not kept:
                     continue
                 shingles, starts = shingle_hashes(np.concatenate(parts), np.array(sizes), width)
+                short = (shingles >> np.uint64(32)).astype(np.uint32)
                 keys = np.empty((bands, len(kept)), dtype=np.uint64)
                 for b in range(bands):
                     key = np.full(len(kept), b + 1, dtype=np.uint64)
                     for j in range(b * rows, (b + 1) * rows):
-                        low = np.minimum.reduceat(shingles * multipliers[j] + shifts[j] >> np.uint64(32), starts)
+                        low = np.minimum.reduceat(short * multipliers[j] + shifts[j], starts)
                         key = (key ^ low) * np.uint64(0x9E3779B97F4A7C15)
                         key ^= key >> np.uint64(31)
                     keys[b] = key
+                n = bands * len(kept)
                 yield pa.record_batch(
-                    [pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.array(kept, dtype=np.int64), bands))], names=["key", "fp"]
+                    [pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.array(kept, dtype=np.int64), bands)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
+                    names=["key", "fp", "fp2", "id"],
                 )
 
     return run
 
 
-def _shingles(norm: Column, width: int) -> Column:
-    """The set of word runs of ``width``, each as a 64-bit hash."""
-    w = F.split(norm, " ")
-    return F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.size(w) - F.lit(width - 1)),
-            lambda i: F.xxhash64(*[F.element_at(w, i + j) for j in range(width)]),
-        )
-    )
+def _sets_of(texts: list[str], hashes: _WordHashes, width: int) -> list[np.ndarray]:
+    """The sorted set of shingle hashes of each text."""
+    tokens = [words(t) for t in texts]
+    sizes = np.array([len(t) for t in tokens])
+    shingles, starts = shingle_hashes(hashes([w for t in tokens for w in t]), sizes, width)
+    return [np.unique(x) for x in np.split(shingles, starts[1:])]
+
+
+def _similar(spec: NearCopySpec):
+    """(ra, rb, text a, text b) -> (ra, rb, similarity) of those at or above the threshold, on their full sets."""
+    schema = pa.schema([("ra", pa.int64()), ("rb", pa.int64()), ("similarity", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                part = whole.slice(at, 256)
+                left, right = part.column(2).to_pylist(), part.column(3).to_pylist()
+                where = {t: i for i, t in enumerate(dict.fromkeys(left + right))}
+                sets = _sets_of(list(where), hashes, spec.words_per_shingle)
+                value = np.zeros(len(left))
+                for i, (x, y) in enumerate(zip(left, right)):
+                    x, y = sets[where[x]], sets[where[y]]
+                    if min(len(x), len(y)) >= spec.threshold * max(len(x), len(y)) - 1e-9:
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        value[i] = both / (len(x) + len(y) - both)
+                keep = np.flatnonzero(value >= spec.threshold - 1e-12)
+                yield pa.record_batch([part.column(0).take(keep), part.column(1).take(keep), pa.array(value[keep])], schema=schema)
+
+    return run
+
+
+def _shingle_rows(spec: NearCopySpec):
+    """(rep, text) -> (rep, size of its set, shingle)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                part = whole.slice(at, 256)
+                sets = _sets_of(part.column(1).to_pylist(), hashes, spec.words_per_shingle)
+                sizes = np.array([len(x) for x in sets])
+                yield pa.record_batch(
+                    [pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets).view(np.int64))],
+                    names=["rep", "n", "s"],
+                )
+
+    return run
 
 
 def _prefix_pairs(docs: DataFrame, spec: NearCopySpec) -> DataFrame:
-    """All candidate pairs among ``docs`` (rep, sh) by the prefix principle; exact, no banding.
+    """All candidate pairs among ``docs`` (rep, text) by the prefix principle; exact, no banding.
 
     Two sets with Jaccard similarity t share one of the ``n - ceil(t n) + 1`` rarest
     members of either. Common boilerplate is never rare, so it joins nothing.
     """
     t = spec.threshold
-    members = docs.select("rep", F.size("sh").alias("n"), F.explode("sh").alias("s"))
+    members = docs.mapInArrow(_shingle_rows(spec), "rep long, n long, s long")
     rarity = members.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     ranked = members.join(rarity, "s", "left").withColumn(
         "rank", F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("df", F.lit(1)), "s"))
@@ -200,18 +246,19 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, spec: NearCopySpec =
     """Classes of equal records and the pairs of classes whose similarity is at least the threshold.
 
     Null, empty and short texts (under ``min_words`` words) belong to no class and no
-    pair. Rows with the same words, repeated ids included, fall into one class, whose
-    representative is its smallest id. An empty table gives empty results. Other
+    pair. Rows with the same words fall into one class, whose representative is its
+    smallest id; a repeated id stands for one record, a row with a null id for none. An empty table gives empty results. Other
     columns are ignored, whatever their names.
     """
-    docs = _prepared(df, id_col, text_col, spec)
-    reps = docs.groupBy("fp", "fp2").agg(F.min("id").alias("rep"))
-    members = docs.select("id", "fp", "fp2").join(reps, ["fp", "fp2"]).select("id", "rep")
-
-    held = docs.select("norm", "fp", "fp2").mapInArrow(_band_keys(spec), "key long, fp long")
-    shared = cut(
-        held.repartition("key").dropDuplicates(["key", "fp"]).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
-    )
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    held = docs.mapInArrow(_pass_one(spec), "key long, fp long, fp2 long, id long").repartition("key")
+    n = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    kept = cut(held.withColumn("n", n).filter("n > 1 or id is not null").drop("n"))
+
+    members = kept.filter("id is not null")
+    reps = members.groupBy("fp", "fp2").agg(F.min("id").alias("rep"))
+    members = members.select("id", "fp", "fp2").join(reps, ["fp", "fp2"]).select("id", "rep")
+    shared = kept.filter("id is null").select("key", "fp").distinct().withColumn("n", n).filter("n > 1")
     narrow = shared.filter(F.col("n") <= spec.bucket_limit)
     a, b = narrow.alias("a"), narrow.alias("b")
     found = (
@@ -228,31 +275,23 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, spec: NearCopySpec =
     wide = shared.filter(F.col("n") > spec.bucket_limit)
     if not wide.isEmpty():
         in_wide = wide.select("fp").distinct().join(by_fp, "fp").select("rep")
-        candidates = candidates.union(_prefix_pairs(_sets(docs, in_wide, spec), spec)).distinct()
+        candidates = candidates.union(_prefix_pairs(_texts(docs, in_wide), spec)).distinct()
     return NearCopies(members, _verified(docs, cut(candidates), spec))
 
 
-def _sets(docs: DataFrame, reps: DataFrame, spec: NearCopySpec) -> DataFrame:
-    """(rep, sh): the full shingle sets of the given representatives."""
-    return (
-        docs.select(F.col("id").alias("rep"), "norm")
-        .join(reps, "rep", "left_semi")
-        .dropDuplicates(["rep"])
-        .select("rep", _shingles(F.col("norm"), spec.words_per_shingle).alias("sh"))
-    )
+def _texts(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, text) of the given representatives, one row each."""
+    return docs.filter("text is not null").withColumnRenamed("id", "rep").join(reps, "rep", "left_semi").groupBy("rep").agg(F.max("text").alias("text"))
 
 
 def _verified(docs: DataFrame, candidates: DataFrame, spec: NearCopySpec) -> DataFrame:
-    needed = candidates.select(F.col("ra").alias("rep")).union(candidates.select(F.col("rb").alias("rep"))).distinct()
-    sets = _sets(docs, needed, spec)
-    both = F.size(F.array_intersect("sa", "sb"))
+    needed = candidates.select(F.explode(F.array("ra", "rb")).alias("rep")).distinct()
+    texts = _texts(docs, needed)
     return (
-        candidates.join(sets.select(F.col("rep").alias("ra"), F.col("sh").alias("sa")), "ra")
-        .join(sets.select(F.col("rep").alias("rb"), F.col("sh").alias("sb")), "rb")
-        .filter(F.least(F.size("sa"), F.size("sb")) >= spec.threshold * F.greatest(F.size("sa"), F.size("sb")) - 1e-9)
-        .withColumn("both", both)
-        .select("ra", "rb", (F.col("both") / (F.size("sa") + F.size("sb") - F.col("both"))).alias("similarity"))
-        .filter(F.col("similarity") >= spec.threshold - 1e-12)
+        candidates.join(texts.select(F.col("rep").alias("ra"), F.col("text").alias("ta")), "ra")
+        .join(texts.select(F.col("rep").alias("rb"), F.col("text").alias("tb")), "rb")
+        .select("ra", "rb", "ta", "tb")
+        .mapInArrow(_similar(spec), "ra long, rb long, similarity double")
     )
 
 
