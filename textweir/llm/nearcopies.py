@@ -9,6 +9,8 @@ Plan, for a collection far too large for pairwise comparison:
 2. One shuffle by key. Band keys held by a single class (nearly all) are dropped on
    its reduce side; what remains is checkpointed with the memberships.
 3. Each class is represented by its smallest record.
+   One bit of each of 128 MinHash values makes a sketch; pairs whose sketches differ
+   too much for the threshold, by nearly four standard deviations, aren't verified.
 4. Keys with at most ``bucket_limit`` classes give candidate pairs by an equi-join.
    Classes in fuller buckets go through an exact prefix-filtered set join
    instead, so no bucket is ever expanded pair by pair and no pair is lost.
@@ -35,6 +37,8 @@ from pyspark.sql.window import Window
 from textweir.session import cut
 
 _WORD = re.compile(r"[^\W_]+")
+SKETCH_BITS = 64
+PASS_ONE = pa.schema([(c, pa.int64()) for c in ("key", "fp", "fp2", "id", "sketch_a", "sketch_b")])
 
 
 @dataclass(frozen=True)
@@ -53,6 +57,12 @@ class NearCopySpec:
     #: Classes in one bucket beyond which the exact prefix join takes over.
     bucket_limit: int = 64
 
+    def most_differing_bits(self) -> int:
+        """Differing bits of two sketches that a pair at the sought similarity exceeds about once in ten thousand times."""
+        differ = (1 - (self.safe_similarity or self.threshold)) / 2
+        bits = 2 * SKETCH_BITS
+        return math.ceil(bits * differ + 3.8 * math.sqrt(bits * differ * (1 - differ)))
+
     def bands_and_rows(self) -> tuple[int, int]:
         """The most selective banding (most rows a band) that still reaches the recall."""
         s = self.safe_similarity or self.threshold
@@ -105,21 +115,22 @@ class _WordHashes:
 
 
 def _pass_one(spec: NearCopySpec):
-    """(id, text) -> (key, class, id, member): a member row for each record, band rows for each class."""
+    """(id, text) -> a member row (spread key, class, guard, id, sketch) for each record, band rows (key, class) for each class."""
     bands, rows = spec.bands_and_rows()
     width, seed, least = spec.words_per_shingle, spec.seed, max(spec.min_words, spec.words_per_shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
-        multipliers = rng.integers(0, 2**31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-        shifts = rng.integers(0, 2**32, bands * rows, dtype=np.uint32)
-        hashes, seen = _WordHashes(), set()
+        n_hashes = max(bands * rows, 2 * SKETCH_BITS)
+        multipliers = rng.integers(0, 2**31, n_hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        shifts = rng.integers(0, 2**32, n_hashes, dtype=np.uint32)
+        hashes, seen = _WordHashes(), {}
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                ids, classes, parts, sizes, kept = [], [], [], [], []
+                ids, classes, owns, parts, sizes, kept = [], [], [], [], [], []
                 for record, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     if text is None or record is None:
                         continue
@@ -131,33 +142,38 @@ def _pass_one(spec: NearCopySpec):
                     low = own & 0x7FFFFFFFFFFFFFFF
                     ids.append(record)
                     classes.append((low, own >> 64))
+                    owns.append(own)
                     if own not in seen:
-                        seen.add(own)
+                        seen[own] = (0, 0)
                         parts.append(hashes(tokens))
                         sizes.append(len(tokens))
-                        kept.append(low)
+                        kept.append(own)
                 if not ids:
                     continue
-                member = np.array(classes, dtype=np.int64)
-                spread = np.array([xxhash.xxh64_intdigest(f"{i}") >> 1 for i in ids], dtype=np.int64)
-                yield pa.record_batch([pa.array(spread), pa.array(member[:, 0]), pa.array(member[:, 1]), pa.array(ids, pa.int64())], names=["key", "fp", "fp2", "id"])
-                if not kept:
-                    continue
-                shingles, starts = shingle_hashes(np.concatenate(parts), np.array(sizes), width)
-                short = (shingles >> np.uint64(32)).astype(np.uint32)
-                keys = np.empty((bands, len(kept)), dtype=np.uint64)
-                for b in range(bands):
-                    key = np.full(len(kept), b + 1, dtype=np.uint64)
-                    for j in range(b * rows, (b + 1) * rows):
+                if kept:
+                    shingles, starts = shingle_hashes(np.concatenate(parts), np.array(sizes), width)
+                    short = (shingles >> np.uint64(32)).astype(np.uint32)
+                    keys = np.empty((bands, len(kept)), dtype=np.uint64)
+                    sketch = np.zeros((2, len(kept)), dtype=np.uint64)
+                    for j in range(n_hashes):
                         low = np.minimum.reduceat(short * multipliers[j] + shifts[j], starts)
-                        key = (key ^ low) * np.uint64(0x9E3779B97F4A7C15)
-                        key ^= key >> np.uint64(31)
-                    keys[b] = key
-                n = bands * len(kept)
-                yield pa.record_batch(
-                    [pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.array(kept, dtype=np.int64), bands)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
-                    names=["key", "fp", "fp2", "id"],
-                )
+                        if j < 2 * SKETCH_BITS:
+                            # any bit of a mix of the value is as good as another
+                            sketch[j // SKETCH_BITS] |= (low * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint64) << np.uint64(j % SKETCH_BITS)
+                        b, first = divmod(j, rows)
+                        if b < bands:
+                            key = (np.full(len(kept), b + 1, dtype=np.uint64) if not first else keys[b]) ^ low
+                            key *= np.uint64(0x9E3779B97F4A7C15)
+                            keys[b] = key ^ key >> np.uint64(31)
+                    for own, x, y in zip(kept, *sketch.view(np.int64).tolist()):
+                        seen[own] = (x, y)
+                member = np.array([(*c, *seen[own]) for c, own in zip(classes, owns)], dtype=np.int64)
+                spread = np.array([xxhash.xxh64_intdigest(f"{i}") >> 1 for i in ids], dtype=np.int64)
+                yield pa.record_batch([pa.array(spread), *(pa.array(member[:, c]) for c in (0, 1)), pa.array(ids, pa.int64()), *(pa.array(member[:, c]) for c in (2, 3))], schema=PASS_ONE)
+                if kept:
+                    n, none = bands * len(kept), pa.nulls(bands * len(kept), pa.int64())
+                    lows = np.array([own & 0x7FFFFFFFFFFFFFFF for own in kept], dtype=np.int64)
+                    yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(lows, bands)), none, none, none, none], schema=PASS_ONE)
 
     return run
 
@@ -251,13 +267,13 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, spec: NearCopySpec =
     columns are ignored, whatever their names.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    held = docs.mapInArrow(_pass_one(spec), "key long, fp long, fp2 long, id long").repartition("key")
+    held = docs.mapInArrow(_pass_one(spec), ", ".join(f"{c} long" for c in PASS_ONE.names)).repartition("key")
     n = F.count(F.lit(1)).over(Window.partitionBy("key"))
     kept = cut(held.withColumn("n", n).filter("n > 1 or id is not null").drop("n"))
 
     members = kept.filter("id is not null")
-    reps = members.groupBy("fp", "fp2").agg(F.min("id").alias("rep"))
-    members = members.select("id", "fp", "fp2").join(reps, ["fp", "fp2"]).select("id", "rep")
+    reps = members.groupBy("fp", "fp2").agg(F.min("id").alias("rep"), F.min("sketch_a").alias("sketch_a"), F.min("sketch_b").alias("sketch_b"))
+    members = members.select("id", "fp", "fp2").join(reps.select("fp", "fp2", "rep"), ["fp", "fp2"]).select("id", "rep")
     shared = kept.filter("id is null").select("key", "fp").distinct().withColumn("n", n).filter("n > 1")
     narrow = shared.filter(F.col("n") <= spec.bucket_limit)
     a, b = narrow.alias("a"), narrow.alias("b")
@@ -267,9 +283,15 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, spec: NearCopySpec =
         .distinct()
     )
     by_fp = reps.select("fp", "rep")
+
+    def end(x: str) -> DataFrame:
+        return reps.select(F.col("fp").alias(f"f{x}"), F.col("rep").alias(f"r{x}"), *(F.col(f"sketch_{c}").alias(f"{c}{x}") for c in "ab"))
+
+    differing = F.bit_count(F.expr("aa ^ ab")) + F.bit_count(F.expr("ba ^ bb"))
     candidates = (
-        found.join(by_fp.select(F.col("fp").alias("fa"), F.col("rep").alias("ra")), "fa")
-        .join(by_fp.select(F.col("fp").alias("fb"), F.col("rep").alias("rb")), "fb")
+        found.join(end("a"), "fa")
+        .join(end("b"), "fb")
+        .filter(differing <= spec.most_differing_bits())
         .select(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"))
     )
     wide = shared.filter(F.col("n") > spec.bucket_limit)
@@ -281,7 +303,7 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, spec: NearCopySpec =
 
 def _texts(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(rep, text) of the given representatives, one row each."""
-    return docs.filter("text is not null").withColumnRenamed("id", "rep").join(reps, "rep", "left_semi").groupBy("rep").agg(F.max("text").alias("text"))
+    return docs.filter("text is not null").withColumnRenamed("id", "rep").join(reps.hint("merge"), "rep", "left_semi").groupBy("rep").agg(F.max("text").alias("text"))
 
 
 def _verified(docs: DataFrame, candidates: DataFrame, spec: NearCopySpec) -> DataFrame:

@@ -1,7 +1,8 @@
 """Subject areas of documents by an anchored non-negative factorisation of the document-term matrix.
 
 Each subject is one component, anchored by hand-labelled texts and by the words of
-its description; a few free components take up what has no subject. Alternating
+its description; one is anchored by texts labelled as junk, and free components take
+up what has no subject. Alternating
 multiplicative updates (Kullback-Leibler) keep the anchors, because a weight that
 starts at nothing stays at nothing. A text's mixture then weighs the subjects of its
 terms unit by unit; the subjects of at least a quarter of the units are the text's.
@@ -27,11 +28,18 @@ def unit_terms(text: str) -> list[list[str]]:
 
 @dataclass(frozen=True)
 class SubjectSpec:
-    free_components: int = 4
+    free_components: int = 1
+    #: How many times more often than elsewhere a term must be used to start in a component.
+    least_lift: float = 2.0
+    rest_prior: float = 0.3
     rounds: int = 40
     fold_in_rounds: int = 12
-    #: A term speaks for a subject when the subject's part of it reaches this.
-    term_part: float = 0.5
+    #: A unit deals with a subject when its terms speak for it with this weight ...
+    term_part: float = 0.6
+    #: ... and at least with this part of the weight of the unit's leading subject.
+    beside: float = 0.5
+    #: Texts with more of their terms' weight in the junk component have no subject.
+    junk_part: float = 0.3
     #: Share of units that makes a subject one of the text's.
     unit_share: float = 0.25
     #: Labelled texts used for fitting, chosen by a hash of their ids.
@@ -75,10 +83,11 @@ class SubjectModel:
         said *= self.speaks[ids].sum(1, keepdims=True)
         unit_doc = np.zeros(u, dtype=np.int64)
         unit_doc[unit_of] = doc_of
-        deals = np.zeros((u, k))
-        np.maximum.at(deals, unit_of, said)
-        counted = np.zeros((n, k))
-        np.add.at(counted, unit_doc[np.unique(unit_of)], deals[np.unique(unit_of)] >= self.spec.term_part)
+        weight = np.column_stack([np.bincount(unit_of, said[:, j], minlength=u) for j in range(k)])
+        deals = (weight >= self.spec.term_part) & (weight >= self.spec.beside * weight.max(1, keepdims=True))
+        counted = np.column_stack([np.bincount(unit_doc, deals[:, j], minlength=n) for j in range(k)])
+        junk = mixture[:, k] / np.maximum(mixture[:, : k + 1].sum(1), 1e-12)
+        counted[junk > self.spec.junk_part] = 0
         return counted / np.maximum(units_in, 1)[:, None], mixture
 
     def assign(self, texts: list[str]) -> list[list[str]]:
@@ -99,12 +108,13 @@ def _fold_in(weights: np.ndarray, doc_of: np.ndarray, n: int, rounds: int) -> np
     return h
 
 
-def fit_subjects(rows: list[tuple[str, list[str]]], about: list[tuple[str, str]], spec: SubjectSpec = SubjectSpec()) -> SubjectModel:
+def fit_subjects(rows: list[tuple[str, list[str]]], about: list[tuple[str, str]], junk: list[str] = [], spec: SubjectSpec = SubjectSpec()) -> SubjectModel:
     """Fit on labelled texts; ``about`` gives each subject's name and description. Works, poorly, without any label."""
     subjects = tuple(sorted(s for s, _ in about))
     at = {s.lower(): j for j, s in enumerate(subjects)}
     k, free = len(subjects), spec.free_components
     docs = [(unit_terms(t), {at[a] for a in answers if a in at}) for t, answers in rows]
+    docs += [(unit_terms(t), {k}) for t in junk]
     for s, words in about:
         docs += [([_TERM.findall(f"{s} {words}".lower())], {at[s.lower()]})] * 3
     seen = Counter(t for units_, _ in docs for t in {x for u in units_ for x in u})
@@ -116,28 +126,41 @@ def fit_subjects(rows: list[tuple[str, list[str]]], about: list[tuple[str, str]]
             of.append(d)
             count.append(c)
     ids, of, count = np.array(ids), np.array(of), np.array(count, dtype=float)
-    n, m, comps = len(docs), len(terms), k + free
+    n, m, comps = len(docs), len(terms), k + 1 + free
     rng = np.random.default_rng(spec.seed)
     h = np.full((n, comps), 1e-3)
     for d, (_, own) in enumerate(docs):
-        h[d, k:] = 1.0 + 0.1 * rng.random(free)
+        h[d, k + 1 :] = 1.0 + 0.1 * rng.random(free)
         for j in own:
             h[d, j] = 1.0
     h /= h.sum(1, keepdims=True)
+    # A component starts from the terms that its own texts use more than the rest do; the others stay out of it.
+    own = np.zeros((n, comps))
+    for d, (_, labels) in enumerate(docs):
+        for j in labels:
+            own[d, j] = 1 / len(labels)
+    total = np.bincount(ids, count, minlength=m)
     w = np.zeros((m, comps))
     for j in range(comps):
-        w[:, j] = np.bincount(ids, count * h[of, j], minlength=m) + 1e-3 * rng.random(m)
-    w /= w.sum(0)
+        if j > k:
+            w[:, j] = total + 0.1 * rng.random(m)
+            continue
+        inside = np.bincount(ids, count * own[of, j], minlength=m)
+        rate = inside / max(inside.sum(), 1)
+        rest = (total - inside + spec.rest_prior) / max((total - inside).sum(), 1)
+        w[:, j] = np.where(rate > spec.least_lift * rest, inside, 0)
+    w /= np.maximum(w.sum(0), 1e-12)
     anchor = h.copy()
     for _ in range(spec.rounds):
         part = w[ids] * h[of]
         part *= (count / np.maximum(part.sum(1), 1e-12))[:, None]
         h = np.column_stack([np.bincount(of, part[:, j], minlength=n) for j in range(comps)]) * (anchor > 2e-3) + 1e-6 + 0.02 * anchor
-        w = np.column_stack([np.bincount(ids, part[:, j], minlength=m) for j in range(comps)]) + 1e-9
-        used = w.sum(0)
+        w = np.column_stack([np.bincount(ids, part[:, j], minlength=m) for j in range(comps)])
+        w[:, k + 1 :] += 1e-9
+        used = np.maximum(w.sum(0), 1e-12)
         w /= used
         h /= h.sum(1, keepdims=True)
     mass = w * used
-    speaks = mass[:, :k] / mass.sum(1, keepdims=True)
+    speaks = mass[:, :k] / np.maximum(mass.sum(1, keepdims=True), 1e-12)
     model = SubjectModel(subjects, terms, w, speaks, spec.unit_share, spec)
     return model

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -120,6 +121,22 @@ STATISTICS = (
 ).split()
 
 
+@lru_cache(200_000)
+def _token(token: str) -> tuple[str, int, list[int] | None, bool] | None:
+    """A token's bare word, its length, its places in the profiles and whether it mixes letters and digits."""
+    bare = token.strip(".,;:!?\"'()[]«»“”¿¡…|*-")
+    if not bare:
+        return None
+    joined = not bare.isalpha() and any(c.isdigit() for c in bare) and any(c.isalpha() for c in bare)
+    return bare, len(bare), _SLOTS.get(bare), joined
+
+
+@lru_cache(200_000)
+def _odd_word(word: str) -> bool:
+    """Whether a word in Latin letters has hardly any vowel or is very long."""
+    return word.isascii() and (len("".join(_VOWEL_RUN.findall(word))) * 5 < len(word) or len(word) > 22)
+
+
 def statistics(texts: list[str]) -> tuple[np.ndarray, list[str]]:
     """A row of ``STATISTICS`` for each text, and the language whose prose profile is nearest."""
     n = len(texts)
@@ -131,15 +148,19 @@ def statistics(texts: list[str]) -> tuple[np.ndarray, list[str]]:
     slots = np.zeros((n, int(_OFFSETS[-1])))
     plain = np.zeros((n, 17))
     for i, text in enumerate(texts):
-        tokens = text.lower().split()
-        bare = [t.strip(".,;:!?\"'()[]«»“”¿¡…|*-") for t in tokens]
-        bare = [t for t in bare if t]
-        nw = len(bare)
-        common = pairs = 0
+        common = pairs = length = mixed = odd_words = nw = 0
         before = False
+        distinct = {}
         row = slots[i]
-        for w in bare:
-            at = _SLOTS.get(w)
+        for token in text.lower().split():
+            word = _token(token)
+            if word is None:
+                continue
+            bare, size, at, joined = word
+            nw += 1
+            length += size
+            mixed += joined
+            distinct[bare] = word
             if at:
                 common += 1
                 pairs += before
@@ -148,25 +169,23 @@ def statistics(texts: list[str]) -> tuple[np.ndarray, list[str]]:
                     row[s] += 1
             else:
                 before = False
+        spelt = [_odd_word(w) for w in distinct if w.isalpha() and len(w) > 2]
+        odd_words = sum(spelt)
         lines = [x for x in text.splitlines() if x.strip()]
         nl = max(1, len(lines))
         per_line = [len(x.split()) for x in lines] or [0]
         mean_line = sum(per_line) / nl
         spread = (sum((x - mean_line) ** 2 for x in per_line) / nl) ** 0.5 / (mean_line + 1)
-        cells = [len(_CELLS.findall(x)) for x in lines]
+        cells = [len(_CELLS.findall(x)) for x in lines] if nl > 1 else []
         agreement = 0.0
         if nl > 1:
             usual = max(set(cells), key=lambda c: (cells.count(c), c))
             agreement = cells.count(usual) / nl * min(usual, 4)
         starts = [x.split(None, 1)[0] for x in lines]
-        distinct = set(bare)
-        alpha = [w for w in distinct if w.isalpha() and w.isascii() and len(w) > 2]
-        odd_words = sum(1 for w in alpha if len("".join(_VOWEL_RUN.findall(w))) * 5 < len(w) or len(w) > 22)
-        mixed = sum(1 for w in bare if not w.isalpha() and any(c.isdigit() for c in w) and any(c.isalpha() for c in w))
         plain[i] = (
             nw,
             len(lines),
-            sum(map(len, bare)) / max(1, nw),
+            length / max(1, nw),
             sum(x.rstrip().endswith(_STOPS) for x in lines) / nl,
             sum(1 for x in lines if _ITEM.match(x)) / nl,
             mean_line,
@@ -175,7 +194,7 @@ def statistics(texts: list[str]) -> tuple[np.ndarray, list[str]]:
             sum(1 for x in lines if x.rstrip()[-1:].isdigit()) / nl,
             common / max(1, nw),
             1 - len(distinct) / max(1, nw),
-            odd_words / max(1, len(alpha)),
+            odd_words / max(1, len(spelt)),
             len(_LONG_SYMBOLS.findall(text)),
             len(_TAG.findall(text)) / max(1, nw),
             mixed / max(1, nw),
