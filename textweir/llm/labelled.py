@@ -9,16 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def training_rows(texts: DataFrame, labels: DataFrame, aspect: str, most: int, id_col: str = "record_id", text_col: str = "text") -> list[tuple[str, list[str]]]:
+def training_rows(
+    texts: DataFrame, labels: DataFrame, aspect: str, most: int, answers: list[str] | None = None, id_col: str = "record_id", text_col: str = "text"
+) -> list[tuple[str, list[str]]]:
     """(text, answers) of at most ``most`` labelled records of one aspect, in an order set by a hash of the id.
 
     The bound is on labelled records only and keeps fitting on the driver small; the
-    fitted model is applied to all rows. Answers are trimmed and lower-cased.
+    fitted model is applied to all rows. Answers are trimmed and lower-cased; only those
+    in ``answers`` count, where given.
     """
+    said = F.lower(F.trim("answer"))
+    if answers:
+        labels = labels.filter(said.isin(answers))
     chosen = (
         labels.filter((F.col("aspect") == aspect) & F.col("answer").isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("_id"))
-        .agg(F.array_sort(F.collect_list(F.lower(F.trim("answer")))).alias("_answers"))
+        .agg(F.array_sort(F.collect_list(said)).alias("_answers"))
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(most)
     )

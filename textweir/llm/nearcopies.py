@@ -38,7 +38,8 @@ from textweir.session import cut
 
 _WORD = re.compile(r"[^\W_]+")
 SKETCH_BITS = 64
-PASS_ONE = pa.schema([(c, pa.int64()) for c in ("key", "fp", "fp2", "id", "sketch_a", "sketch_b")])
+#: ``record`` is (guard, id, sketch, sketch) in member rows and null in band rows, which keeps the many band rows small.
+PASS_ONE = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("record", pa.list_(pa.int64()))])
 
 
 @dataclass(frozen=True)
@@ -169,11 +170,13 @@ def _pass_one(spec: NearCopySpec):
                         seen[own] = (x, y)
                 member = np.array([(*c, *seen[own]) for c, own in zip(classes, owns)], dtype=np.int64)
                 spread = np.array([xxhash.xxh64_intdigest(f"{i}") >> 1 for i in ids], dtype=np.int64)
-                yield pa.record_batch([pa.array(spread), *(pa.array(member[:, c]) for c in (0, 1)), pa.array(ids, pa.int64()), *(pa.array(member[:, c]) for c in (2, 3))], schema=PASS_ONE)
+                record = np.column_stack([member[:, 1], np.array(ids, dtype=np.int64), member[:, 2:]])
+                record = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(ids) + 1, 4, dtype=np.int32)), pa.array(record.ravel()))
+                yield pa.record_batch([pa.array(spread), pa.array(member[:, 0]), record], schema=PASS_ONE)
                 if kept:
-                    n, none = bands * len(kept), pa.nulls(bands * len(kept), pa.int64())
+                    none = pa.nulls(bands * len(kept), pa.list_(pa.int64()))
                     lows = np.array([own & 0x7FFFFFFFFFFFFFFF for own in kept], dtype=np.int64)
-                    yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(lows, bands)), none, none, none, none], schema=PASS_ONE)
+                    yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(lows, bands)), none], schema=PASS_ONE)
 
     return run
 
@@ -267,14 +270,16 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, spec: NearCopySpec =
     columns are ignored, whatever their names.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    held = docs.mapInArrow(_pass_one(spec), ", ".join(f"{c} long" for c in PASS_ONE.names)).repartition("key")
+    held = docs.mapInArrow(_pass_one(spec), "key long, fp long, record array<long>").repartition("key")
     n = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    kept = cut(held.withColumn("n", n).filter("n > 1 or id is not null").drop("n"))
+    kept = cut(held.withColumn("n", n).filter("n > 1 or record is not null"))
 
-    members = kept.filter("id is not null")
+    one = [F.col("record")[i].alias(c) for i, c in enumerate(("fp2", "id", "sketch_a", "sketch_b"))]
+    members = kept.filter("record is not null").select("fp", *one)
     reps = members.groupBy("fp", "fp2").agg(F.min("id").alias("rep"), F.min("sketch_a").alias("sketch_a"), F.min("sketch_b").alias("sketch_b"))
-    members = members.select("id", "fp", "fp2").join(reps.select("fp", "fp2", "rep"), ["fp", "fp2"]).select("id", "rep")
-    shared = kept.filter("id is null").select("key", "fp").distinct().withColumn("n", n).filter("n > 1")
+    members = cut(members.select("id", "fp", "fp2").join(reps.select("fp", "fp2", "rep"), ["fp", "fp2"]).select("id", "rep"))
+    # A class may be in a bucket once for each task that met it, so ``n`` is an upper bound.
+    shared = kept.filter("record is null").select("key", "fp", "n")
     narrow = shared.filter(F.col("n") <= spec.bucket_limit)
     a, b = narrow.alias("a"), narrow.alias("b")
     found = (

@@ -18,6 +18,7 @@ import numpy as np
 from textweir.llm.units import units
 
 LEVELS = (1, 2, 3, 4)
+LEAST_WORDS = 40
 _WORD = re.compile(r"[a-z]+(?:['’][a-z]+)?")
 
 # Connectives of argument and subordinating words of English.
