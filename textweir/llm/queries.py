@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textweir.llm import abuse, nearcopies, readlevel, subjects, textkind
+from textweir.llm import abuse, encode, nearcopies, packing, readlevel, reservoir, subjects, textkind
 from textweir.llm.labelled import apply_in_batches, training_rows
+from textweir.llm.sentences import sentences
 
 RECORDS, DOCUMENTS, LABELS = "refined_commands_filtered", "documents", "record_labels"
 
@@ -18,6 +19,7 @@ RECORDS, DOCUMENTS, LABELS = "refined_commands_filtered", "documents", "record_l
 NEAR_COPIES = nearcopies.NearCopySpec(threshold=0.6, words_per_shingle=3, min_words=30, safe_similarity=0.64)
 SUBJECTS, ABUSE, LEVELS = subjects.SubjectSpec(), abuse.AbuseSpec(), readlevel.LevelSpec()
 MOST_KIND_LABELS = 6000
+RESERVOIR, ENCODING, CONTAINERS = reservoir.ReservoirSpec(), encode.EncodeSpec(), packing.PackSpec()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -186,8 +188,75 @@ def p5_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(apply_in_batches(records(spark, sf_dir), schema, kernel), "record_id", "left").join(old, "record_id", "left")
 
 
+# -- 6: fixed-size sample
+
+
+def _pieces(df: DataFrame) -> list[DataFrame]:
+    """The pieces in the order of their numbers; rows without a number come last."""
+    numbers = sorted(r[0] for r in df.select("piece_no").distinct().collect() if r[0] is not None)
+    return [*(df.filter(F.col("piece_no") == n) for n in numbers), df.filter(F.col("piece_no").isNull())]
+
+
+def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A uniform sample of the records with the cluster and number of tokens of their first arrival."""
+    rows = table(spark, sf_dir, "climblab_sample")
+    sample = reservoir.reservoir(_pieces(rows.select("sample_id", "piece_no")), "sample_id", RESERVOIR)
+    first = F.struct(F.coalesce("piece_no", F.lit(2**31 - 1)), "arrived_at", F.coalesce("cluster_id", F.lit("unknown")).alias("cluster_id"), F.coalesce(F.size("tokens"), F.lit(0)).alias("n_tokens"))
+    return (
+        rows.select("sample_id", first.alias("row"))
+        .join(sample, "sample_id", "left_semi")
+        .groupBy("sample_id")
+        .agg(F.min("row").alias("row"))
+        .select("sample_id", "row.cluster_id", F.greatest(F.col("row.n_tokens"), F.lit(0)).alias("n_tokens"))
+    )
+
+
+# -- 7: encoding
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids by byte_bpe_50k; null and empty texts have an empty list."""
+    return encode.encode(table(spark, sf_dir, DOCUMENTS), "doc_id", "text", ENCODING)
+
+
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids decoded again; ``exact`` is whether the text came back unchanged."""
+    docs = table(spark, sf_dir, DOCUMENTS).select("doc_id", F.coalesce("text", F.lit("")).alias("before"))
+    back = encode.decode(p7_ids(spark, sf_dir), "doc_id", "ids", ENCODING)
+    return docs.join(back, "doc_id").select("doc_id", F.length("text").cast("long").alias("n_chars"), (F.col("text") == F.col("before")).alias("exact"))
+
+
+# -- 8: containers
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each part of each document lies; sizes in tokens of byte_bpe_50k."""
+    sizes = p7_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("n_tokens"))
+    return packing.pack(sizes, "doc_id", "n_tokens", CONTAINERS)
+
+
+def p8_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are, beside the least number that could hold the tokens."""
+    rows = p8_containers(spark, sf_dir).filter("container is not null")
+    total, used = F.sum("size"), F.count_distinct("container")
+    return rows.agg(used.alias("containers"), F.ceil(total / CONTAINERS.capacity).alias("least"), F.round(total / (used * CONTAINERS.capacity), 6).alias("filled"))
+
+
+# -- 9: sentences
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def kernel(ids: list, texts: list) -> list[pa.Array]:
+        found = [(i, a, b) for i, t in zip(ids, texts) for a, b in sentences(t)]
+        return [pa.array([f[k] for f in found], pa.int64()) for k in range(3)]
+
+    docs = table(spark, sf_dir, DOCUMENTS).select("doc_id", "text")
+    return apply_in_batches(docs, "doc_id long, sent_start long, sent_end long", kernel, chunk=128)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [p1_found, p1_classes, p2_found, p2_composition, p3_found, p3_scores, p3_rates, p4_found, p5_found, p5_statistics]
+    named += [p6_sample, p7_ids, p7_decoded, p8_containers, p8_use, p9_found]
     return {f.__name__: f for f in named}
 
 
