@@ -260,5 +260,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in named}
 
 
+#: Pairs by counting common word runs, for small tables.
+PAIRS_SQL = r"""w AS (SELECT record_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM refined_commands_filtered WHERE text IS NOT NULL),
+  s AS (SELECT DISTINCT record_id, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT record_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 30)),
+  n AS (SELECT record_id, count(*) AS n FROM s GROUP BY 1),
+  c AS (SELECT a.record_id AS a, b.record_id AS b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.record_id < b.record_id GROUP BY 1, 2),
+  p AS (SELECT a AS record_id_a, b AS record_id_b FROM c JOIN n x ON x.record_id = a JOIN n y ON y.record_id = b WHERE shared >= 0.6 * (x.n + y.n - shared))"""
+CLASSES_SQL = f"""WITH {PAIRS_SQL}, k AS (SELECT record_id, array_to_string(w, ' ') AS t FROM w WHERE len(w) >= 30),
+  m AS (SELECT record_id, min(record_id) OVER (PARTITION BY t) AS class_id, count(*) OVER (PARTITION BY t) AS class_size FROM k),
+  e AS (SELECT record_id_a AS x, record_id_b AS y FROM p UNION ALL SELECT record_id_b, record_id_a FROM p),
+  l AS (SELECT x, count(*) AS linked_records, count(DISTINCT m.class_id) FILTER (WHERE m.class_id <> o.class_id) AS linked_classes FROM e JOIN m ON m.record_id = y JOIN m o ON o.record_id = x GROUP BY x)
+  SELECT record_id, class_id, class_size, coalesce(linked_classes, 0)::BIGINT AS linked_classes, coalesce(linked_records, 0)::BIGINT AS linked_records FROM m LEFT JOIN l ON x = record_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": f"WITH {PAIRS_SQL} SELECT * FROM p", "p1_classes": CLASSES_SQL}
