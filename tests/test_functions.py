@@ -103,12 +103,13 @@ def test_scores(edges):
 def test_rules(edges):
     check(edges, R.preselect(), preselect)
     check(edges, R.passes_rules(), passes)
-    check(edges, F.array_contains(R.inappropriate_categories(), "excessive_repetition"), repetition)
-    check(edges, F.array_contains(R.inappropriate_categories(), "excessive_caps"), lambda t: len(t) > 20 and t.isupper())
+    flagged = edges.withColumn("flags", R.inappropriate_flags())
+    check(flagged, F.array_contains(R.inappropriate_categories(F.col("flags")), "excessive_repetition"), repetition)
+    check(flagged, F.array_contains(R.inappropriate_categories(F.col("flags")), "excessive_caps"), lambda t: len(t) > 20 and t.isupper())
 
 
 def test_safety_context(edges):
-    rows = {r["text"]: r["g"] for r in edges.select("text", R.safety_grade().alias("g")).collect()}
+    rows = {r["text"]: r["g"] for r in edges.withColumn("s", R.safety_shares()).select("text", R.safety_grade(F.col("s")).alias("g")).collect()}
     medical = rows["The doctor said sex is a medical term in this study of health"]
     assert medical["severity"] == pytest.approx(100 / 13 * 0.3) and medical["is_safe"] and medical["warnings"] == ["sexual"]
     assert rows["kill kill murder"]["violations"] == ["violence"] and not rows["kill kill murder"]["is_safe"]
@@ -116,7 +117,7 @@ def test_safety_context(edges):
 
 
 def test_enhanced_reasons(edges):
-    rows = {r["text"]: r["g"] for r in edges.select("text", R.enhanced_preselect().alias("g")).collect()}
+    rows = {r["text"]: r["g"] for r in edges.withColumn("c", R.enhanced_checks()).select("text", R.enhanced_preselect(F.col("c")).alias("g")).collect()}
     assert rows[None]["reason"] == rows["  \t\n"]["reason"] == "Empty text"
     assert rows["word"]["reason"] == "Too short (< 15 chars)"
     assert rows["line one is long enough\nshort\nline three is long enough"]["reason"] == "Low quality pattern detected"

@@ -177,3 +177,14 @@ def test_classifier_learns(spark):
     model = scoring.fit_classifier(df, "text", "label")
     scored = scoring.classify(model, df, "text").select("label", (F.col("p1") > 0.5).alias("said"))
     assert stats.binary_metrics(scored.select((F.col("label") == 1).alias("t"), "said"), "t", "said").first()["accuracy"] == 1.0
+
+
+def test_command_line_filter(spark, tmp_path):
+    from textweir import cli
+    from textweir.functions import categories as C
+    from test_functions import COMMANDS
+
+    (tmp_path / "in.jsonl").write_text("\n".join(json.dumps({"text": t}) for t in COMMANDS), encoding="utf-8")
+    counts = cli.filter_commands(spark, str(tmp_path / "in.jsonl"), str(tmp_path / "out"), C.STRICTNESS["moderate"])
+    assert counts == {"read": 12, "kept": 9}
+    assert cli.parser().parse_args(["commands", "a", "b", "--strictness", "lenient"]).strictness == "lenient"

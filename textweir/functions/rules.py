@@ -75,29 +75,38 @@ def passes_rules() -> Column:
     return ~(repeated_char(16) | T.has_phrase(F.col("t"), SPAM_PHRASES) | poor_structure())
 
 
-def rule_grade() -> Column:
-    """(severity, is_safe, violations, warnings) of the spam and structure rules."""
-    poor = poor_structure()
+def rule_hits() -> Column:
+    """(poor, spam): whether the structure is poor, and spam hits in a hundred words. Made a column before ``rule_grade``."""
     phrase = F.regexp_count(F.lower("t"), F.lit(f"{T.BEFORE}(?:{'|'.join(SPAM_PHRASES)}){T.AFTER}"))
     runs = F.regexp_count("t", F.lit(r"(?iu)(.)\1{15,}"))
-    spam = (phrase + runs) / F.greatest(F.lit(1), F.col("n_words")) * F.lit(100.0)
-    severity = F.greatest(F.when(poor, 100.0).otherwise(0.0), spam)
+    return F.struct(poor_structure().alias("poor"), ((phrase + runs) / F.greatest(F.lit(1), F.col("n_words")) * F.lit(100.0)).alias("spam"))
+
+
+def rule_grade(hits: Column) -> Column:
+    """(severity, is_safe, violations, warnings) of the spam and structure rules."""
+    poor, spam = hits["poor"], hits["spam"]
     return F.struct(
-        severity.alias("severity"),
+        F.greatest(F.when(poor, 100.0).otherwise(0.0), spam).alias("severity"),
         (~poor & (spam <= 10)).alias("is_safe"),
         F.array_compact(F.array(F.when(poor, F.lit("quality")), F.when(spam > 10, F.lit("spam")))).alias("violations"),
         F.array_compact(F.array(F.when((spam > 3) & (spam <= 10), F.lit("spam")))).alias("warnings"),
     )
 
 
-def safety_grade() -> Column:
-    """(severity, is_safe, violations, warnings): share of flagged words by category; a medical context eases the sexual ones."""
-    toks = F.col("tokens")
-    medical = T.has_in(toks, MEDICAL_WORDS)
-    grades = {}
+def safety_shares() -> Column:
+    """Flagged words in a hundred by category; a medical context eases the sexual ones. Made a column before ``safety_grade``."""
+    toks, shares = F.col("tokens"), []
     for name, listed in SAFETY_WORDS.items():
         share = F.coalesce(F.try_divide(T.count_in(toks, listed) * F.lit(100.0), F.col("n_words").cast("double")), F.lit(0.0))
-        grades[name] = F.when(medical, share * F.lit(0.3)).otherwise(share) if name == "sexual" else share
+        if name == "sexual":
+            share = share * F.when(T.has_in(toks, MEDICAL_WORDS), 0.3).otherwise(1.0)
+        shares.append(share.alias(name))
+    return F.struct(*shares)
+
+
+def safety_grade(shares: Column) -> Column:
+    """(severity, is_safe, violations, warnings) by the shares of flagged words."""
+    grades = {k: shares[k] for k in SAFETY_WORDS}
     worst = F.greatest(*grades.values())
     return F.struct(
         worst.alias("severity"),
@@ -107,44 +116,41 @@ def safety_grade() -> Column:
     )
 
 
-def _most_repeated() -> Column:
-    """How often the commonest word occurs: the longest run of equal words in order."""
-    ordered = F.array_sort("lwords")
-    step = F.aggregate(
-        ordered,
-        F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("most")),
-        lambda a, w: F.struct(
-            w.alias("w"),
-            F.when(a["w"] == w, a["n"] + 1).otherwise(1).alias("n"),
-            F.greatest(a["most"], F.when(a["w"] == w, a["n"] + 1).otherwise(1)).alias("most"),
-        ),
-    )
-    return step["most"]
+def _one_word_in(share: float) -> Column:
+    """Whether a single word makes up more than this share of all words.
 
+    In sorted order such a word stands at one of the places 1/share apart, so only those are counted.
+    """
+    ordered, n = F.array_sort("lwords"), F.col("n_words")
+    places = int(1 / share) + 1
+    at = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(places)), lambda i: F.floor(i * n / (places + 1)).cast("int") + 1))
+    candidates = F.array_distinct(F.transform(at, lambda i: F.try_element_at(ordered, F.least(i, n.cast("int")))))
+    return F.exists(candidates, lambda w: F.size(F.filter("lwords", lambda x: x == w)) > n * F.lit(share))
 
-def inappropriate_hits() -> list[tuple[str, float, Column]]:
-    """(reason, weight, condition) in order: word groups, repetition, capitals, length."""
+
+REASONS = tuple((name, 0.3) for name, _ in INAPPROPRIATE) + (("excessive_repetition", 0.2), ("excessive_caps", 0.1), ("too_short", 0.1), ("too_long", 0.1))
+
+
+def inappropriate_flags() -> Column:
+    """A flag for each of ``REASONS``: word groups, repetition, capitals, length. Made a column before the two below."""
     t, n = F.col("t"), F.col("n_chars")
-    hits = [(name, 0.3, T.has_phrase(t, listed)) for name, listed in INAPPROPRIATE]
-    hits.append(("excessive_repetition", 0.2, (F.col("n_words") > 10) & (_most_repeated() > F.col("n_words") * F.lit(0.3))))
-    hits.append(("excessive_caps", 0.1, (n > 20) & T.is_upper(t)))
-    hits.append(("too_short", 0.1, (n < 10) & (n > 0)))
-    hits.append(("too_long", 0.1, n > 5000))
-    return hits
+    flags = [T.has_phrase(t, listed) for _, listed in INAPPROPRIATE]
+    flags.append((F.col("n_words") > 10) & _one_word_in(0.3))
+    flags += [(n > 20) & T.is_upper(t), (n < 10) & (n > 0), n > 5000]
+    return F.array(*flags)
 
 
-def inappropriate() -> Column:
+def inappropriate(flags: Column) -> Column:
     """(reasons, confidence): a reason for each hit, repeated where two groups of a category hit; empty text has none."""
-    hits = inappropriate_hits()
-    reasons = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, _, c in hits]))
-    total = sum((F.when(c, F.lit(w)).otherwise(0.0) for _, w, c in hits), F.lit(0.0))
+    reasons = F.array_compact(F.array(*[F.when(flags[i], F.lit(name)) for i, (name, _) in enumerate(REASONS)]))
+    total = sum((F.when(flags[i], F.lit(w)).otherwise(0.0) for i, (_, w) in enumerate(REASONS)), F.lit(0.0))
     return F.struct(reasons.alias("reasons"), F.least(total, F.lit(1.0)).alias("confidence"))
 
 
-def inappropriate_categories() -> Column:
+def inappropriate_categories(flags: Column) -> Column:
     """The reasons, each once; here an empty text is too short."""
-    hits = [(name, c | (F.col("n_chars") == 0) if name == "too_short" else c) for name, _, c in inappropriate_hits()]
-    return F.array_distinct(F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in hits])))
+    hit = [flags[i] | (F.col("n_chars") == 0) if name == "too_short" else flags[i] for i, (name, _) in enumerate(REASONS)]
+    return F.array_distinct(F.array_compact(F.array(*[F.when(h, F.lit(name)) for h, (name, _) in zip(hit, REASONS)])))
 
 
 LOW_QUALITY = (
@@ -156,28 +162,33 @@ LOW_QUALITY = (
 )
 
 
-def enhanced_preselect() -> Column:
-    """(passed, reason, quality_score, hints) of the ordered checks; the first that fails gives the reason."""
+def enhanced_checks() -> Column:
+    """(early, late, quality_score, educational, code): first failing checks and hints. Made a column before ``enhanced_preselect``."""
     t, n = F.col("t"), F.col("n_chars")
     low = F.lit(False)
     for p in LOW_QUALITY:
         low = low | t.rlike(p)
-    mean = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)) / F.col("n_words")
+    mean = F.try_divide(F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).cast("double"), F.col("n_words").cast("double"))
     early = (
         F.when(~t.rlike(f"[^{T.WS}]"), "Empty text")
         .when(n < 15, "Too short (< 15 chars)")
         .when(n > 4000, "Too long (> 4000 chars)")
         .when(low, "Low quality pattern detected")
     )
-    reason = F.coalesce(early, F.when((mean < 2) | (mean > 15), "Unusual word length pattern"), F.when((T.distinct_chars(t) < 10) & (n > 50), "Low character diversity"))
+    late = F.when((mean < 2) | (mean > 15), "Unusual word length pattern").when((n > 50) & (T.distinct_chars(t) < 10), "Low character diversity")
     hits = sum((T.has_in(F.col("tokens"), ws).cast("int") for ws in QUALITY_WORDS), F.lit(0)) / len(QUALITY_WORDS)
     code = T.has_in(F.col("tokens"), CODE_WORDS) | t.rlike("[{}();]") | t.rlike(rf"^[{T.WS}]*#[^\n]*\n?$")
-    hints = F.array_compact(F.array(F.when(T.has_in(F.col("tokens"), EDUCATIONAL_WORDS), F.lit("educational")), F.when(code, F.lit("code"))))
-    looked = early.isNull()
+    return F.struct(early.alias("early"), late.alias("late"), hits.alias("hits"), T.has_in(F.col("tokens"), EDUCATIONAL_WORDS).alias("educational"), code.alias("code"))
+
+
+def enhanced_preselect(checks: Column) -> Column:
+    """(passed, reason, quality_score, hints) of the ordered checks; the first that fails gives the reason."""
+    reason, looked = F.coalesce(checks["early"], checks["late"]), checks["early"].isNull()
+    hints = F.array_compact(F.array(F.when(checks["educational"], F.lit("educational")), F.when(checks["code"], F.lit("code"))))
     return F.struct(
         reason.isNull().alias("passed"),
         reason.alias("reason"),
-        F.when(looked, hits).otherwise(0.0).alias("quality_score"),
+        F.when(looked, checks["hits"]).otherwise(0.0).alias("quality_score"),
         F.when(looked, hints).otherwise(F.array().cast("array<string>")).alias("hints"),
     )
 

@@ -20,28 +20,18 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def syllables(lwords: Column) -> Column:
-    """Vowel runs of each word, one less for a final e, one at least."""
-    return F.aggregate(
-        lwords,
-        F.lit(0).cast("long"),
-        lambda acc, w: acc + F.greatest(F.lit(1), F.regexp_count(w, F.lit("[aeiouy]+")) - F.when(w.endswith("e"), 1).otherwise(0)).cast("long"),
-    )
-
-
 def readability() -> Column:
     """Reading ease by sentence and syllable counts, from 0 to 1; 0 without a sentence mark or word."""
-    marks, n = F.regexp_count("t", F.lit("[.!?]+")), F.col("n_words")
-    ease = F.lit(206.835) - F.lit(1.015) * (n / marks) - F.lit(84.6) * (syllables(F.col("lwords")) / n)
+    marks, n = F.col("n_marks"), F.col("n_words")
+    ease = F.lit(206.835) - F.lit(1.015) * (n / marks) - F.lit(84.6) * (F.col("n_syllables") / n)
     return F.when((marks == 0) | (n == 0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), ease)) / 100.0)
 
 
 def diversity() -> Column:
     """Share of distinct words with a bonus, or malus, for their mean length."""
-    distinct = F.array_distinct("lwords")
-    n = F.size(distinct)
-    mean = F.aggregate(distinct, F.lit(0).cast("long"), lambda a, w: a + F.length(w)) / n
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), n / F.col("n_words") + F.least(F.lit(0.3), (mean - 4) * F.lit(0.05))))
+    n = F.col("n_distinct")
+    bonus = F.least(F.lit(0.3), (F.col("distinct_length") / n - 4) * F.lit(0.05))
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), n / F.col("n_words") + bonus))
 
 
 def engagement() -> Column:
@@ -51,12 +41,8 @@ def engagement() -> Column:
 
 def coherence() -> Column:
     """Transitions per sentence and evenness of sentence lengths; 0.5 for less than two sentences."""
-    parts = F.filter(F.split("t", "[.!?]+"), lambda s: s.rlike(f"[^{T.WS}]"))
-    n = F.transform(parts, lambda s: T.n_words(s).cast("double"))
-    k = F.size(n)
-    total = F.aggregate(n, F.lit(0.0), lambda a, x: a + x)
-    squares = F.aggregate(n, F.lit(0.0), lambda a, x: a + x * x)
-    variance = squares / k - (total / k) * (total / k)
+    k, mean = F.col("n_sentences"), F.col("sentence_sum") / F.col("n_sentences")
+    variance = F.col("sentence_squares") / k - mean * mean
     flow = F.least(F.lit(0.5), T.count_in(F.col("tokens"), TRANSITIONS) / k)
     return F.when(k < 2, F.lit(0.5)).otherwise(flow + F.lit(0.5) - F.least(F.lit(0.3), variance / 100))
 
@@ -79,7 +65,7 @@ def heuristic_quality() -> Column:
     n = F.col("n_chars")
     band = F.when(n.between(50, 2000), 0.3).when((n >= 20) & (n <= 5000), 0.1).otherwise(0.0)
     chars = F.least(T.distinct_chars(F.col("t")) / F.greatest(n, F.lit(1)) * F.lit(0.3), F.lit(0.3))
-    distinct = F.least(_ratio(F.size(F.array_distinct("lwords")), F.col("n_words")) * F.lit(0.2), F.lit(0.2))
+    distinct = F.least(_ratio(F.col("n_distinct"), F.col("n_words")) * F.lit(0.2), F.lit(0.2))
     return F.least(band + chars + distinct + F.when(F.col("t").rlike("[.!?]"), 0.2).otherwise(0.0), F.lit(1.0))
 
 
@@ -90,7 +76,7 @@ def call_share(lower: Column) -> Column:
 def simple_reward(threshold: float = 0.2, shortest: int = 50, longest: int = 2000, weight: float = 1.0) -> Column:
     """Length, word diversity and signs of calls; 0 outside the lengths or under the threshold."""
     n = F.col("n_chars")
-    distinct = _ratio(F.size(F.array_distinct("lwords")), F.col("n_words"))
+    distinct = _ratio(F.col("n_distinct"), F.col("n_words"))
     score = F.least(F.lit(1.0), n / 500) * F.lit(0.3) + distinct * F.lit(0.4) + call_share(F.lower("t")) * F.lit(weight) * F.lit(0.3)
     return F.when(~n.between(shortest, longest) | (F.col("n_words") == 0) | (score < threshold), F.lit(0.0)).otherwise(score)
 

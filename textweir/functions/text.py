@@ -90,16 +90,43 @@ def truncate_words(c: Column, n: int, marker: str = " [...]") -> Column:
 
 
 def with_features(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds t (text, never null), words, lwords, tokens, n_chars and n_words, computed once for all scores."""
-    return df.withColumn("t", text_or_empty(text_col)).withColumns(
+    """Adds what the scores and rules are made of, each computed once; what a query doesn't use is pruned.
+
+    t (text, never null), words, lwords, tokens, n_chars, n_words; distinct (words), n_distinct, distinct_length,
+    n_syllables, n_marks; sentence_words (words of each sentence), n_sentences, sentence_sum, sentence_squares.
+    Higher-order functions aren't shared between expressions by the optimizer, hence the steps.
+    """
+    sentences = F.filter(F.split("t", "[.!?]+"), lambda x: x.rlike(f"[^{WS}]"))
+    out = df.withColumn("t", text_or_empty(text_col)).withColumns(
         {
             "words": words(F.col("t")),
             "lwords": words(F.lower("t")),
             "tokens": tokens(F.col("t")),
             "n_chars": F.length("t").cast("long"),
             "n_words": n_words(F.col("t")),
+            "n_marks": F.regexp_count("t", F.lit("[.!?]+")).cast("long"),
+            "sentence_words": F.transform(sentences, lambda x: n_words(x).cast("double")),
+        }
+    )
+    out = out.withColumns(
+        {
+            "distinct": F.array_distinct("lwords"),
+            "n_syllables": syllables(F.col("lwords")),
+            "n_sentences": F.size("sentence_words"),
+            "sentence_sum": F.aggregate("sentence_words", F.lit(0.0), lambda a, x: a + x),
+            "sentence_squares": F.aggregate("sentence_words", F.lit(0.0), lambda a, x: a + x * x),
         }
     )
+    return out.withColumns({"n_distinct": F.size("distinct").cast("long"), "distinct_length": F.aggregate("distinct", F.lit(0).cast("long"), lambda a, w: a + F.length(w))})
+
+
+def syllables(lwords: Column) -> Column:
+    """Vowel runs of each word, one less for a final e, one at least."""
+    return F.aggregate(
+        lwords,
+        F.lit(0).cast("long"),
+        lambda acc, w: acc + F.greatest(F.lit(1), F.regexp_count(w, F.lit("[aeiouy]+")) - F.when(w.endswith("e"), 1).otherwise(0)).cast("long"),
+    )
 
 
 def resolve_text(df: DataFrame, candidates: Sequence[str], out: str = "text") -> DataFrame:

@@ -36,15 +36,18 @@ def token_losses(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.join(priced, "id", "left").select(F.col("id").alias(id_col), F.coalesce(F.transform("ws", lambda w: F.col("price")[w]), none).alias("losses"))
 
 
-def _mean(xs: str):
-    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
-
-
 def lm_scores(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, num_tokens, avg_score, perplexity): the first word is context only; fewer than two words score 0."""
-    shifted = token_losses(df, id_col, text_col).select(id_col, F.size("losses").cast("long").alias("num_tokens"), F.slice("losses", F.lit(2), F.greatest(F.size("losses") - 1, F.lit(0))).alias("rest"))
-    avg = F.when(F.col("num_tokens") < 2, F.lit(0.0)).otherwise(_mean("rest"))
-    return shifted.select(id_col, "num_tokens", avg.alias("avg_score"), F.exp(avg).alias("perplexity"))
+    """(id, num_tokens, avg_score, perplexity): the first word is context only; fewer than two words score 0.
+
+    A mean needs no order: each text's words are counted, then priced once per distinct word.
+    """
+    texts = df.select(F.col(id_col).alias("id"), T.words(F.lower(T.text_or_empty(text_col))).alias("ws"))
+    counted = texts.select("id", F.posexplode("ws").alias("at", "token")).groupBy("id", "token").agg((F.count(F.lit(1)) - F.count_if(F.col("at") == 0)).alias("n"))
+    loss = -F.log(F.greatest("p", F.lit(FLOOR)))
+    summed = counted.join(unigrams(df, text_col), "token").groupBy("id").agg(F.sum(F.col("n") * loss).alias("total"))
+    rows = texts.select("id", F.size("ws").cast("long").alias("num_tokens")).join(summed, "id", "left")
+    avg = F.when(F.col("num_tokens") < 2, F.lit(0.0)).otherwise(F.col("total") / (F.col("num_tokens") - 1))
+    return rows.select(F.col("id").alias(id_col), "num_tokens", avg.alias("avg_score")).withColumn("perplexity", F.exp("avg_score"))
 
 
 def rho_scores(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

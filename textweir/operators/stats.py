@@ -120,15 +120,15 @@ def map_totals(df: DataFrame, counts: str) -> DataFrame:
 
 
 def funnel(df: DataFrame, stage: str, stages: Sequence[str]) -> DataFrame:
-    """(stage, rejected, cleared): rows that first fail at each stage, and rows still in after it. A null stage passed all."""
-    order = F.create_map(*[x for i, s in enumerate(stages) for x in (F.lit(s), F.lit(i))])
-    counted = df.groupBy(stage).agg(F.count(F.lit(1)).alias("n"))
-    spark = df.sparkSession
-    every = spark.createDataFrame([(s,) for s in stages], "stage string")
-    total = counted.agg(F.sum("n").alias("total"))
-    lost = every.join(counted.withColumnRenamed(stage, "stage"), "stage", "left").select("stage", F.coalesce("n", F.lit(0)).cast("long").alias("rejected"))
-    running = F.sum("rejected").over(Window.partitionBy(F.lit(1)).orderBy(order[F.col("stage")]))  # one row a stage
-    return lost.join(total).select("stage", "rejected", (F.coalesce("total", F.lit(0)) - running).cast("long").alias("cleared"))
+    """(stage, rejected, cleared): rows that first fail at each stage, and rows still in after it. A null stage passed all.
+
+    One aggregate of a row: a join by stage would push its filter into the stage's expression and compute it again.
+    """
+    at = F.coalesce(stage, F.lit(""))
+    one = df.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(at == s).alias(f"r{i}") for i, s in enumerate(stages)])
+    lost = [F.col(f"r{i}") for i in range(len(stages))]
+    rows = [F.struct(F.lit(s).alias("stage"), lost[i].alias("rejected"), (F.col("total") - sum(lost[: i + 1], F.lit(0))).cast("long").alias("cleared")) for i, s in enumerate(stages)]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def compare_datasets(parts: Mapping[str, DataFrame], baseline: str, text_col: str = "text") -> DataFrame:

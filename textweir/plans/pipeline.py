@@ -52,8 +52,8 @@ DECISION = ("preselect", "rules", "quality", "category")
 
 def comprehensive(df: DataFrame, text_col: str = "text", config: PipelineConfig = PipelineConfig(), adjustment: Column | None = None) -> DataFrame:
     """Adds the rule grade, the quality scores, the category, ``rejected_at`` and ``should_include``."""
-    f = with_features(df, text_col).withColumns({**S.quality(), "grade": R.rule_grade(), "preselected": R.preselect()})
-    f = f.withColumns({"overall_quality": S.overall_quality(), "category": C.best_weighted(F.lower("t"), config.table or C.KEYWORDS)})
+    f = with_features(df, text_col).withColumns({**S.quality(), "hits": R.rule_hits(), "preselected": R.preselect()})
+    f = f.withColumns({"grade": R.rule_grade(F.col("hits")), "overall_quality": S.overall_quality(), "category": C.best_weighted(F.lower("t"), config.table or C.KEYWORDS)})
     threshold = F.lit(C.quality_threshold(config.domain)) + (F.lit(0.0) if adjustment is None else adjustment)
     wanted = {
         "preselect": (config.use_preselect, F.col("preselected")),

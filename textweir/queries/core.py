@@ -18,6 +18,7 @@ from textweir.functions import text as T
 from textweir.operators import dedup, scoring, similarity, stats
 from textweir.plans import pipeline
 from textweir.sources import readers, writers
+from textweir.session import spread
 from textweir.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,7 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,13 +251,14 @@ def flt_preselect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def flt_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = R.rule_grade()
-    return featured(spark, sf_dir).select("doc_id", R.passes_rules().alias("passes"), g.alias("g")).select("doc_id", "passes", r6(F.col("g.severity")).alias("severity"), "g.is_safe", F.array_join("g.violations", ",").alias("violations"))
+    hits = featured(spark, sf_dir).select("doc_id", R.passes_rules().alias("passes"), R.rule_hits().alias("hits"))
+    return hits.select("doc_id", "passes", R.rule_grade(F.col("hits")).alias("g")).select("doc_id", "passes", r6(F.col("g.severity")).alias("severity"), "g.is_safe", F.array_join("g.violations", ",").alias("violations"))
 
 
 @query()
 def flt_enhanced_preselect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = featured(spark, sf_dir).select("doc_id", R.enhanced_preselect().alias("g"))
+    checks = featured(spark, sf_dir).select("doc_id", R.enhanced_checks().alias("c"))
+    g = checks.select("doc_id", R.enhanced_preselect(F.col("c")).alias("g"))
     return g.select("doc_id", "g.passed", "g.reason", r6(F.col("g.quality_score")).alias("quality_score"), F.array_join("g.hints", ",").alias("hints"))
 
 
@@ -283,12 +285,17 @@ def _safety_sql() -> str:
 
 
 def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.with_features(table(spark, sf_dir, "refined_commands_filtered").select("record_id", "text", "source"))
+    return T.with_features(spread(table(spark, sf_dir, "refined_commands_filtered").select("record_id", "text", "source")))
+
+
+def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recorded(spark, sf_dir).select("record_id", "n_chars", R.inappropriate_flags().alias("flags"))
 
 
 @query(_safety_sql())
 def flt_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = recorded(spark, sf_dir).select("record_id", R.safety_grade().alias("g"))
+    shares = recorded(spark, sf_dir).select("record_id", R.safety_shares().alias("s"))
+    g = shares.select("record_id", R.safety_grade(F.col("s")).alias("g"))
     return g.select("record_id", r6(F.col("g.severity")).alias("severity"), "g.is_safe", F.array_join("g.violations", ",").alias("violations"), F.array_join("g.warnings", ",").alias("warnings"))
 
 
@@ -318,13 +325,13 @@ INAPPROPRIATE_SQL, INAPPROPRIATE_ONCE_SQL = _inappropriate_sql()
 
 @query(INAPPROPRIATE_SQL)
 def flt_inappropriate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = recorded(spark, sf_dir).select("record_id", R.inappropriate().alias("g"))
+    g = flagged(spark, sf_dir).select("record_id", R.inappropriate(F.col("flags")).alias("g"))
     return g.select("record_id", F.array_join("g.reasons", ",").alias("reasons"), r6(F.col("g.confidence")).alias("confidence"))
 
 
 @query(INAPPROPRIATE_ONCE_SQL)
 def flt_inappropriate_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recorded(spark, sf_dir).select("record_id", F.array_join(F.array_sort(R.inappropriate_categories()), ",").alias("categories"))
+    return flagged(spark, sf_dir).select("record_id", F.array_join(F.array_sort(R.inappropriate_categories(F.col("flags"))), ",").alias("categories"))
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,7 +363,7 @@ def flt_rethreshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def flt_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules first, then the stored model score: a text that the rules settle doesn't need the model."""
-    rules = recorded(spark, sf_dir).select("record_id", "n_chars", R.inappropriate().alias("g"))
+    rules = flagged(spark, sf_dir).select("record_id", "n_chars", R.inappropriate(F.col("flags")).alias("g"))
     a = F.col("toxicity_analysis")
     model = table(spark, sf_dir, "inappropriate_filter_jason").filter("record_id is not null").groupBy("record_id").agg(F.max(a["raw_score"]).alias("raw"), F.max(F.upper(F.trim(a["label"]))).alias("label"))
     d = R.toxicity_decision(F.col("label"), F.col("raw"), F.col("g.reasons"), F.col("g.confidence"), F.col("n_chars"))
@@ -436,7 +443,7 @@ def scr_soft_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = F.create_map(*[F.lit(x) for kv in CATEGORY_WEIGHTS.items() for x in kv])
     topics = similarity.tfidf_similarity(docs(spark, sf_dir), "doc_id", "text", DESCRIBED).groupBy("doc_id").agg(F.sum(F.col("similarity") * weights[F.col("category")]).alias("topic"))
     f = featured(spark, sf_dir).join(topics, "doc_id")
-    score = S.soft_length(F.col("n_chars")) * F.lit(0.3) + F.size(F.array_distinct("lwords")) / F.col("n_words") * F.lit(0.3) + S.call_word_share() * F.lit(0.2) + F.col("topic") * F.lit(0.2)
+    score = S.soft_length(F.col("n_chars")) * F.lit(0.3) + F.col("n_distinct") / F.col("n_words") * F.lit(0.3) + S.call_word_share() * F.lit(0.2) + F.col("topic") * F.lit(0.2)
     return f.select("doc_id", r6(F.when(F.col("n_words") == 0, 0.0).otherwise(score)).alias("reward"))
 
 
@@ -922,7 +929,8 @@ def plan_comprehensive(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plan_combined_preselect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules, then the best description's TF-IDF similarity in place of a sentence encoder."""
     near = similarity.tfidf_similarity(docs(spark, sf_dir), "doc_id", "text", DESCRIBED).groupBy("doc_id").agg(F.max(F.struct("similarity", "category")).alias("best"))
-    rows = featured(spark, sf_dir).select("doc_id", R.enhanced_preselect().alias("rule")).join(near, "doc_id")
+    checks = featured(spark, sf_dir).select("doc_id", R.enhanced_checks().alias("c"))
+    rows = checks.select("doc_id", R.enhanced_preselect(F.col("c")).alias("rule")).join(near, "doc_id")
     out = rows.select("doc_id", pipeline.combined_preselect(F.col("rule"), F.col("best.similarity"), F.col("best.category"), least=0.0).alias("p"))
     return out.select("doc_id", "p.passed", r6(F.col("p.combined_score")).alias("combined_score"), F.array_join("p.hints", ",").alias("hints"))
 
