@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 from textweir.llm.tokenizers import load, tokenizer_path
 from textweir.session import cut
 
-_PARTS = pa.list_(pa.struct([("pos", pa.list_(pa.int32())), ("ids", pa.list_(pa.int32()))]))
-_SPLIT = pa.schema([("uid", pa.int64()), ("word", pa.string()), ("pos", pa.list_(pa.int32())), ("parts", _PARTS)])
-_SPLIT_DDL = "uid long, word string, pos array<int>, parts array<struct<pos: array<int>, ids: array<int>>>"
+#: One row for each text: ``sizes`` has a byte for each word, the number of its ids where it is filled in and 0 where it
+#: is joined; ``filled`` has those ids as 32-bit integers. One row for each other word of a text: the word and its places.
+_SPLIT = pa.schema([("uid", pa.int64()), ("sizes", pa.binary()), ("filled", pa.binary()), ("word", pa.string()), ("pos", pa.list_(pa.int32()))])
+_SPLIT_DDL = "uid long, sizes binary, filled binary, word string, pos array<int>"
+_MOST_FILLED = 250
 
 
 @dataclass(frozen=True)
@@ -52,13 +55,6 @@ def encode_word(path: str, word: str) -> list[int]:
     return [t.id for t in load(path).model.tokenize(word)]
 
 
-def _positions(path: str, text: str | None) -> dict[str, list[int]]:
-    where: dict[str, list[int]] = {}
-    for i, w in enumerate(split_words(path, text) if text else ()):
-        where.setdefault(w, []).append(i)
-    return where
-
-
 def _distinct_words(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,43 +84,78 @@ def _encode_words(path: str):
 def _split(path: str, hot: dict[str, list[int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                part = whole.slice(at, 64)
-                uid, word, pos, parts = [], [], [], []
+            for at in range(0, whole.num_rows, 256):
+                part = whole.slice(at, 256)
+                uid, sizes, filled, word, pos = [], [], [], [], []
                 for u, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    filled = []
-                    for w, places in _positions(path, text).items():
-                        ids = hot.get(w)
-                        if ids is None:
-                            uid.append(u)
-                            word.append(w)
-                            pos.append(places)
-                            parts.append(None)
+                    words = split_words(path, text) if text else []
+                    places: dict[str, list[int]] = {}
+                    counts, ids = bytearray(len(words)), []
+                    for i, w in enumerate(words):
+                        known = hot.get(w)
+                        if known is None:
+                            places.setdefault(w, []).append(i)
                         else:
-                            filled.append({"pos": places, "ids": ids})
+                            counts[i] = len(known)
+                            ids += known
                     # One row for every text, so that none is lost, whatever its words.
-                    uid.append(u)
+                    uid += [u] * (len(places) + 1)
+                    sizes.append(bytes(counts))
+                    sizes += [None] * len(places)
+                    filled.append(np.array(ids, dtype=np.int32).tobytes())
+                    filled += [None] * len(places)
                     word.append(None)
+                    word += places
                     pos.append(None)
-                    parts.append(filled)
-                yield pa.record_batch([pa.array(uid, pa.int64()), pa.array(word, pa.string()), pa.array(pos, pa.list_(pa.int32())), pa.array(parts, _PARTS)], schema=_SPLIT)
+                    pos += places.values()
+                columns = [pa.array(x, f.type) for x, f in zip((uid, sizes, filled, word, pos), _SPLIT)]
+                yield pa.record_batch(columns, schema=_SPLIT)
 
     return run
 
 
+def _ragged(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, .. up to each length, one after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+
+
+def place(sizes: list[bytes], filled: list[bytes], words_of: np.ndarray, pos: np.ndarray, pos_of: np.ndarray, ids: np.ndarray, ids_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch of texts in order, and how many each text has.
+
+    ``words_of`` counts each text's joined words; ``pos_of`` and ``ids_of`` count each such word's places and ids in
+    ``pos`` and ``ids``.
+    """
+    n = np.frombuffer(b"".join(sizes), dtype=np.uint8).astype(np.int64)
+    words_in = np.array([len(x) for x in sizes], dtype=np.int64)
+    base = np.cumsum(words_in) - words_in
+    known = n > 0
+    word = np.repeat(np.arange(len(pos_of)), pos_of)  # the joined word at each place
+    at = np.repeat(np.repeat(base, words_of), pos_of) + pos
+    n[at] = ids_of[word]
+    start = np.cumsum(n) - n
+    out = np.empty(int(n.sum()), dtype=np.int32)
+    out[np.repeat(known, n)] = np.frombuffer(b"".join(filled), dtype=np.int32)
+    first = np.cumsum(ids_of) - ids_of
+    each = ids_of[word]
+    step = _ragged(each)
+    out[np.repeat(start[at], each) + step] = ids[np.repeat(first[word], each) + step]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return out, ends[base + words_in] - ends[base]
+
+
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid, parts) -> (uid, ids) in the order of the positions."""
+    """(uid, sizes, filled, joined words) -> (uid, ids)."""
     for whole in batches:
-        for at in range(0, whole.num_rows, 64):
-            part = whole.slice(at, 64)
-            out = []
-            for parts in part.column(1).to_pylist():
-                row: list = [()] * sum(len(p["pos"]) for p in parts)
-                for p in parts:
-                    for i in p["pos"]:
-                        row[i] = p["ids"]
-                out.append([x for ids in row for x in ids])
-            yield pa.record_batch([part.column(0), pa.array(out, pa.list_(pa.int32()))], names=["uid", "ids"])
+        for at in range(0, whole.num_rows, 256):
+            part = whole.slice(at, 256)
+            joined = part.column(3)
+            words = joined.flatten()
+            counts = [np.nan_to_num(x.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64) for x in (joined, words.field("pos"), words.field("ids"))]
+            flat = [words.field(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pos", "ids")]
+            ids, each = place(part.column(1).to_pylist(), part.column(2).to_pylist(), counts[0], flat[0], counts[1], flat[1], counts[2])
+            offsets = np.concatenate([[0], np.cumsum(each)]).astype(np.int32)
+            yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=["uid", "ids"])
 
 
 def word_table(df: DataFrame, text_col: str, spec: EncodeSpec = EncodeSpec()) -> DataFrame:
@@ -144,10 +175,14 @@ def encode(df: DataFrame, id_col: str, text_col: str, spec: EncodeSpec = EncodeS
     total = table.agg(F.sum("texts")).first()[0] or 0
     # Bounded: fewer than 1 / hot_share words can each have that share of all rows.
     hot = {r["word"]: list(r["ids"]) for r in table.filter(F.col("texts") > max(spec.hot_share * total, 1)).collect()}
+    hot = {w: ids for w, ids in hot.items() if 0 < len(ids) <= _MOST_FILLED}
     rows = docs.select("uid", "_text").mapInArrow(_split(spec.path, hot), _SPLIT_DDL)
-    cold = rows.filter("word is not null").join(table.select("word", "ids"), "word").select("uid", F.array(F.struct("pos", "ids")).alias("parts"))
-    filled = rows.filter("word is null").select("uid", "parts")
-    placed = filled.union(cold).groupBy("uid").agg(F.flatten(F.collect_list("parts")).alias("parts")).mapInArrow(_placed, "uid long, ids array<int>")
+    # Texts' own rows go along under keys of their own, spread by text, that no word equals; so one pass gives both kinds.
+    key = F.coalesce("word", F.concat(F.lit("\0"), F.col("uid").cast("string")))
+    met = rows.withColumn("word", key).join(table.select("word", "ids"), "word", "left")
+    joined = F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))).alias("joined")
+    every = met.groupBy("uid").agg(F.max("sizes").alias("sizes"), F.max("filled").alias("filled"), joined)
+    placed = every.select("uid", "sizes", "filled", "joined").mapInArrow(_placed, "uid long, ids array<int>")
     return docs.select("uid", "_id").join(placed, "uid").select(F.col("_id").alias(id_col), "ids")
 
 
