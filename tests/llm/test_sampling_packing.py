@@ -97,3 +97,9 @@ def test_packing(spark):
             assert sorted(r["part"] for r in own) == list(range(len(own)))
     assert sum(total.values()) / (2048 * len(total)) > 0.97
     assert pack(df.limit(0), "id", "size").count() == 0
+
+
+def test_items_that_never_fit_together(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 500 + 1025).alias("size"))
+    out = pack(df, "id", "size", PackSpec(capacity=2048, items_a_task=100))
+    assert out.select("container").distinct().count() == out.count() == 3000

@@ -36,7 +36,7 @@ class EncodeSpec:
     tokenizer: str = "byte_bpe_50k.json"
     folder: str | None = None
     #: A word in more than this share of all (text, word) rows is filled in without a join; so at most 1 / hot_share words.
-    hot_share: float = 0.0005
+    hot_share: float = 0.0001
 
     @property
     def path(self) -> str:

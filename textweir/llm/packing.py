@@ -2,7 +2,8 @@
 
 Each partition packs its own items best-fit, largest first. Containers that are
 nearly full are done; the rest become items themselves and are packed again, best-fit,
-over ever fewer partitions (a tree), until one task's worth is left. An item larger
+over ever fewer partitions (a tree), until one is left or nothing more fits together,
+as where every item fills over half a container. An item larger
 than a container fills whole containers of its own and leaves a remainder, which is packed
 like any other item; nothing else is split.
 """
@@ -30,6 +31,8 @@ class PackSpec:
     items_a_task: int = 200_000
     #: How many partitions' leftovers meet in one of the next round's.
     fan_in: int = 8
+    #: The tree ends where a round leaves more than this share of the open containers.
+    least_gain: float = 0.95
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,8 +128,10 @@ def pack(df: DataFrame, id_col: str, size_col: str, spec: PackSpec = PackSpec())
     first = cut(small.repartition(width, "item").mapInArrow(_pack_partition(spec, 1), _DDL))
     least = int(np.ceil(spec.nearly_full * c))
     merged, open_bins, level = None, first.filter(F.col("first") & (F.col("fill") < least)), 1
-    while width > 1:
-        level, width = level + 1, max(1, -(-width // spec.fan_in))
+    left = open_bins.count()
+    while width > 1 and left > 1:
+        # No task gets more than it can pack at a time.
+        level, width = level + 1, max(-(-width // spec.fan_in), -(-left // spec.items_a_task))
         now = cut(open_bins.select("bin", "fill").repartition(width, "bin").mapInArrow(_pack_partition(spec, level), _DDL))
         step = now.select(F.col("item").alias("_from"), F.col("bin").alias("_to"), F.col("fill").alias("_fill"))
         if merged is None:
@@ -134,7 +139,10 @@ def pack(df: DataFrame, id_col: str, size_col: str, spec: PackSpec = PackSpec())
         else:
             again = step.select(F.col("_from").alias("_mid"), F.col("_to").alias("_to2"), F.col("_fill").alias("_fill2"))
             merged = merged.join(again, merged["_to"] == again["_mid"], "left").select("_from", F.coalesce("_to2", "_to").alias("_to"), F.coalesce("_fill2", "_fill").alias("_fill"))
-        open_bins = now.filter(F.col("first") & (F.col("fill") < least))
+        open_bins, before = now.filter(F.col("first") & (F.col("fill") < least)), left
+        left = open_bins.count()
+        if left > spec.least_gain * before:
+            break
     placed = first.select(F.col("item").alias("_uid"), "bin", "fill")
     if merged is not None:
         placed = placed.join(merged, placed["bin"] == merged["_from"], "left").select("_uid", F.coalesce("_to", "bin").alias("bin"), F.coalesce("_fill", "fill").alias("fill"))

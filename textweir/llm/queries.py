@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from textweir.llm import abuse, encode, nearcopies, packing, readlevel, reservoir, subjects, textkind
 from textweir.llm.labelled import apply_in_batches, training_rows
 from textweir.llm.sentences import sentences
+from textweir.session import spread
 
 RECORDS, DOCUMENTS, LABELS = "refined_commands_filtered", "documents", "record_labels"
 
@@ -28,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(record_id, text) of the records whose text isn't null or blank."""
-    return table(spark, sf_dir, RECORDS).select("record_id", "text").filter(F.col("text").rlike(r"\S"))
+    return spread(table(spark, sf_dir, RECORDS).select("record_id", "text")).filter(F.col("text").rlike(r"\S"))
 
 
 # -- 1: near copies
@@ -250,7 +251,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = [(i, a, b) for i, t in zip(ids, texts) for a, b in sentences(t)]
         return [pa.array([f[k] for f in found], pa.int64()) for k in range(3)]
 
-    docs = table(spark, sf_dir, DOCUMENTS).select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, DOCUMENTS).select("doc_id", "text"))
     return apply_in_batches(docs, "doc_id long, sent_start long, sent_end long", kernel, chunk=128)
 
 
