@@ -51,6 +51,7 @@ CASES = {
     "Tutor: Hello there. Sit down.\nStudent: Thanks": ["Tutor: Hello there.", "Sit down.", "Student: Thanks"],
     "Well... it works; really: yes - sure. Ok?": ["Well... it works; really: yes - sure.", "Ok?"],
     "the first ends. the second starts small.": ["the first ends.", "the second starts small."],
+    "meet at 3 p.m. in the hall. it ends at 4 p.m. the rest is free.": ["meet at 3 p.m. in the hall.", "it ends at 4 p.m.", "the rest is free."],
     "It ended.Another began.": ["It ended.", "Another began."],
     "Run build.sh with v1.2.3 of www.site.example now.": ["Run build.sh with v1.2.3 of www.site.example now."],
     "“等一下。我们先看！”小组长说。太好了！": ["“等一下。我们先看！”小组长说。", "太好了！"],
