@@ -188,3 +188,24 @@ def test_command_line_filter(spark, tmp_path):
     counts = cli.filter_commands(spark, str(tmp_path / "in.jsonl"), str(tmp_path / "out"), C.STRICTNESS["moderate"])
     assert counts == {"read": 12, "kept": 9}
     assert cli.parser().parse_args(["commands", "a", "b", "--strictness", "lenient"]).strictness == "lenient"
+
+
+def test_examples(spark):
+    from textweir.operators import examples
+
+    df = spark.createDataFrame([(i, "a", 0.9) for i in range(10)] + [(20, "b", 0.1), (21, "a", 0.5)], "id long, g string, s double")
+    rows = examples.labelled_examples(df, "g", "s").collect()
+    assert {r["g"] for r in rows} == {"a"} and len(rows) == 10 and {r["label"] for r in rows} == {1}
+    pairs = [(r["id"], r["negative_id"]) for r in examples.with_negative(spark.range(2500), "id", 100).collect()]
+    assert len(pairs) == 2500 and all(a != b for a, b in pairs) and len({b for _, b in pairs}) > 2450
+    assert examples.with_negative(spark.range(1), "id").first()["negative_id"] is None
+    seen, o = examples.observed(spark.range(7), "seen", F.max("id").alias("top"))
+    assert len(seen.collect()) == 7 and o.get == {"rows": 7, "top": 6}
+
+
+def test_stream_of_near_copies(spark, tmp_path):
+    text = "the quick brown fox jumps over the lazy dog and runs away into the deep forest again"
+    for rows in ([(1, text), (2, text + "."), (3, "something else entirely is written in this other text here")], [(4, text + " "), (5, "a third kind of text that nobody has seen before at all")]):
+        spark.createDataFrame(rows, "id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = streams.read_files(spark, str(tmp_path / "in"), "id long, text string", files_a_batch=1)
+    assert sorted(r["id"] for r in streams.drop_near_copies(s, "id", "text", str(tmp_path / "work")).collect()) in ([1, 3, 5], [3, 4, 5])

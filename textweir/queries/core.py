@@ -15,7 +15,7 @@ from textweir.functions import categories as C
 from textweir.functions import rules as R
 from textweir.functions import scores as S
 from textweir.functions import text as T
-from textweir.operators import dedup, scoring, similarity, stats
+from textweir.operators import dedup, examples, scoring, similarity, stats
 from textweir.plans import pipeline
 from textweir.sources import readers, writers
 from textweir.session import spread
@@ -562,6 +562,33 @@ def cat_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _scorers_sql() -> str:
+    cols = ", ".join(f"max(similarity) FILTER (WHERE category = '{k}') * {w}::DOUBLE AS s_{k}" for k, w in CATEGORY_WEIGHTS.items())
+    top = "greatest(" + ", ".join(f"s_{k}" for k in CATEGORY_WEIGHTS) + ")"
+    best = " ".join(f"WHEN s_{k} = {top} THEN '{k}'" for k in CATEGORY_WEIGHTS)
+    mean = "(" + " + ".join(f"s_{k}" for k in CATEGORY_WEIGHTS) + f") / {len(CATEGORY_WEIGHTS)}"
+    return f"WITH {TFIDF_CTE}, w AS (SELECT doc_id, {cols} FROM (SELECT doc_id, category, round(similarity, 9) AS similarity FROM cosines) GROUP BY doc_id) SELECT doc_id, round({mean}, 6) AS overall, CASE {best} END AS best, {mean} > 0.005::DOUBLE AS keep FROM w"
+
+
+@query(_scorers_sql())
+def cat_scorers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scorer a category, here TF-IDF with its description, weighted; mean, best and whether to keep."""
+    found = similarity.tfidf_similarity(docs(spark, sf_dir), "doc_id", "text", DESCRIBED)
+    wide = found.groupBy("doc_id").agg(*[F.max(F.when(F.col("category") == k, F.round("similarity", 9))).alias(k) for k in CATEGORY_WEIGHTS])
+    w = wide.select("doc_id", examples.weighted_best({k: F.col(k) for k in CATEGORY_WEIGHTS}, CATEGORY_WEIGHTS, 0.005).alias("w"))
+    return w.select("doc_id", r6(F.col("w.overall")).alias("overall"), "w.best", "w.keep")
+
+
+@query(
+    f"WITH {FEATURES}, s AS (SELECT doc_id, coalesce(lang, 'unknown') AS lang, round({HEURISTIC_SQL}, 6) AS s FROM f), "
+    "l AS (SELECT doc_id, lang, CASE WHEN s > 0.7::DOUBLE THEN 1 WHEN s < 0.3::DOUBLE AND 1 - s > 0.7::DOUBLE THEN 0 END AS label FROM s) "
+    "SELECT lang, label::BIGINT AS label, count(*) AS records FROM l WHERE label IS NOT NULL AND lang IN (SELECT lang FROM l WHERE label IS NOT NULL GROUP BY lang HAVING count(*) >= 10) GROUP BY ALL"
+)
+def cat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = featured(spark, sf_dir).select("doc_id", F.coalesce("lang", F.lit("unknown")).alias("lang"), r6(S.heuristic_quality()).alias("s"))
+    return examples.labelled_examples(s, "lang", "s").groupBy("lang", "label").agg(F.count(F.lit(1)).alias("records"))
+
+
 # -- duplicates
 
 
@@ -886,6 +913,14 @@ def jn_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "k", "left").agg(F.count("hit").alias("hits"), F.count_if(F.col("hit").isNull()).alias("misses"))
 
 
+@query(
+    """WITH n AS (SELECT greatest(1, count(*) // 1000) AS b FROM documents), r AS (SELECT doc_id, md5(doc_id::VARCHAR) AS h, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % (SELECT b FROM n) AS b FROM documents),
+  o AS (SELECT doc_id, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS other FROM r WINDOW w AS (PARTITION BY b ORDER BY h, doc_id)) SELECT doc_id, nullif(other, doc_id) AS negative_id FROM o"""
+)
+def jn_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return examples.with_negative(docs(spark, sf_dir), "doc_id")
+
+
 @query("SELECT label, count(*) AS records FROM (SELECT 1::BIGINT AS label FROM documents UNION ALL SELECT 0::BIGINT FROM refined_commands_filtered) GROUP BY 1")
 def set_labelled_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = docs(spark, sf_dir).select("text").withColumn("label", F.lit(1).cast("long"))
@@ -975,3 +1010,15 @@ def str_rewarded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("records")).select(F.col("w.start").alias("start"), "event_type", "records")
+
+
+@query()
+def str_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies dropped as files arrive."""
+    import uuid
+
+    from textweir.session import ensure_checkpoint_dir
+
+    path = f"{sf_dir}/documents.parquet"
+    s = streams.read_files(spark, path, spark.read.parquet(path).schema).select("doc_id", "text")
+    return streams.drop_near_copies(s, "doc_id", "text", f"{ensure_checkpoint_dir(spark)}/near-{uuid.uuid4().hex}").select("doc_id")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from textweir.functions import scores as S
 from textweir.functions.text import with_features
+from textweir.operators import dedup
 from textweir.operators.dedup import normalised
-from textweir.session import ensure_checkpoint_dir
+from textweir.session import cut, ensure_checkpoint_dir
 
 
 def read_files(spark: SparkSession, path: str, schema, kind: str = "parquet", files_a_batch: int = 4) -> DataFrame:
@@ -55,3 +56,29 @@ def run_available(df: DataFrame, path: str | None = None, mode: str = "append")
         q = df.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
     q.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out")
+
+
+def drop_near_copies(df: DataFrame, id_col: str, text_col: str, path: str, banding: dedup.Banding = dedup.AT_05) -> DataFrame:
+    """Run a stream and keep each text that shares no bucket with one kept before; gives the kept rows.
+
+    Kept buckets are an index on disk, one folder a batch, written over when a batch is replayed;
+    within a batch the greedy rule holds in the order of the ids.
+    """
+    spark = df.sparkSession
+
+    def one_batch(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn(id_col, F.col(id_col).cast("long"))
+        buckets = cut(dedup.band_buckets(dedup.signatures(rows, id_col, text_col, dedup.words_and_trigrams, banding), banding))
+        fresh = rows.select(F.col(id_col).alias("id"))
+        if number:
+            kept_before = spark.read.schema("bucket long, id long, batch int").parquet(f"{path}/index").filter(F.col("batch") < number)
+            seen = buckets.join(kept_before.select("bucket"), "bucket", "left_semi").select("id").distinct()
+            fresh = fresh.join(seen, "id", "left_anti")
+        fresh = cut(fresh.distinct())
+        kept = cut(dedup.greedy_survivors(fresh, buckets.join(fresh, "id", "left_semi")))
+        rows.join(kept.withColumnRenamed("id", id_col), id_col, "left_semi").write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        buckets.join(kept, "id", "left_semi").select("bucket", "id").write.mode("overwrite").parquet(f"{path}/index/batch={number}")
+
+    q = df.writeStream.foreachBatch(one_batch).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    q.start().awaitTermination()
+    return spark.read.parquet(f"{path}/out")
