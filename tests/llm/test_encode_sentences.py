@@ -16,7 +16,7 @@ TEXTS = [
 @pytest.mark.parametrize("share", [0.0005, 1.0, 0.02])
 def test_ids_are_the_tokenizers_own(spark, share):
     spec = EncodeSpec(hot_share=share)
-    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(3, "repeated id"), (None, "null id")]
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(3, "repeated id"), (None, "null id"), (7, TEXTS[7]), (7, TEXTS[7]), (None, None), (None, "")]
     df = spark.createDataFrame(rows, "id long, text string").selectExpr("*", "1 as uid", "'w' as word", "2 as ids", "3 as parts")
     out = [(r["id"], list(r["ids"])) for r in encode(df, "id", "text", spec).collect()]
     tok = load(spec.path)

@@ -18,16 +18,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textweir.llm.tokenizers import load, tokenizer_path
-from textweir.session import cut
+from textweir.session import cut, spread
 
 #: One row for each text: ``sizes`` has a byte for each word, the number of its ids where it is filled in and 0 where it
 #: is joined; ``filled`` has those ids as 32-bit integers. One row for each other word of a text: the word and its places.
-_SPLIT = pa.schema([("uid", pa.int64()), ("sizes", pa.binary()), ("filled", pa.binary()), ("word", pa.string()), ("pos", pa.list_(pa.int32()))])
-_SPLIT_DDL = "uid long, sizes binary, filled binary, word string, pos array<int>"
+_SPLIT = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("sizes", pa.binary()), ("filled", pa.binary()), ("word", pa.string()), ("pos", pa.list_(pa.int32()))])
+_SPLIT_DDL = "k1 long, k2 long, sizes binary, filled binary, word string, pos array<int>"
 _MOST_FILLED = 250
 
 
@@ -86,8 +86,8 @@ def _split(path: str, hot: dict[str, list[int]]):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 part = whole.slice(at, 256)
-                uid, sizes, filled, word, pos = [], [], [], [], []
-                for u, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                k1, k2, sizes, filled, word, pos = [], [], [], [], [], []
+                for a, b, text in zip(*(part.column(c).to_pylist() for c in range(3))):
                     words = split_words(path, text) if text else []
                     places: dict[str, list[int]] = {}
                     counts, ids = bytearray(len(words)), []
@@ -99,7 +99,8 @@ def _split(path: str, hot: dict[str, list[int]]):
                             counts[i] = len(known)
                             ids += known
                     # One row for every text, so that none is lost, whatever its words.
-                    uid += [u] * (len(places) + 1)
+                    k1 += [a] * (len(places) + 1)
+                    k2 += [b] * (len(places) + 1)
                     sizes.append(bytes(counts))
                     sizes += [None] * len(places)
                     filled.append(np.array(ids, dtype=np.int32).tobytes())
@@ -108,7 +109,7 @@ def _split(path: str, hot: dict[str, list[int]]):
                     word += places
                     pos.append(None)
                     pos += places.values()
-                columns = [pa.array(x, f.type) for x, f in zip((uid, sizes, filled, word, pos), _SPLIT)]
+                columns = [pa.array(x, f.type) for x, f in zip((k1, k2, sizes, filled, word, pos), _SPLIT)]
                 yield pa.record_batch(columns, schema=_SPLIT)
 
     return run
@@ -145,17 +146,17 @@ def place(sizes: list[bytes], filled: list[bytes], words_of: np.ndarray, pos: np
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid, sizes, filled, joined words) -> (uid, ids)."""
+    """(k1, k2, sizes, filled, joined words) -> (k1, k2, ids)."""
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
             part = whole.slice(at, 256)
-            joined = part.column(3)
+            joined = part.column(4)
             words = joined.flatten()
             counts = [np.nan_to_num(x.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64) for x in (joined, words.field("pos"), words.field("ids"))]
             flat = [words.field(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pos", "ids")]
-            ids, each = place(part.column(1).to_pylist(), part.column(2).to_pylist(), counts[0], flat[0], counts[1], flat[1], counts[2])
+            ids, each = place(part.column(2).to_pylist(), part.column(3).to_pylist(), counts[0], flat[0], counts[1], flat[1], counts[2])
             offsets = np.concatenate([[0], np.cumsum(each)]).astype(np.int32)
-            yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=["uid", "ids"])
+            yield pa.record_batch([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=["k1", "k2", "ids"])
 
 
 def word_table(df: DataFrame, text_col: str, spec: EncodeSpec = EncodeSpec()) -> DataFrame:
@@ -164,26 +165,33 @@ def word_table(df: DataFrame, text_col: str, spec: EncodeSpec = EncodeSpec()) ->
     return counted.groupBy("word").agg(F.sum("texts").alias("texts")).mapInArrow(_encode_words(spec.path), "word string, texts long, ids array<int>")
 
 
+def _keys(*columns: str) -> list[Column]:
+    """(k1, k2): 128 bits of a row's content. Keys by content stay the same when a lost task runs again on rows in another order."""
+    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(F.lit(seed), *parts).alias(f"k{seed}") for seed in (1, 2)]
+
+
 def encode(df: DataFrame, id_col: str, text_col: str, spec: EncodeSpec = EncodeSpec()) -> DataFrame:
     """(id, ids) of every row, without special tokens.
 
     Null, empty texts give an empty list; every input row gives one output row,
-    repeated ids and null ids included. Other columns are ignored.
+    repeated ids and rows and null ids included. Other columns are ignored.
     """
-    docs = df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    docs = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))).select(*_keys("_id", "_text"), "_id", "_text")
     table = cut(word_table(docs, "_text", spec))
     total = table.agg(F.sum("texts")).first()[0] or 0
     # Bounded: fewer than 1 / hot_share words can each have that share of all rows.
     hot = {r["word"]: list(r["ids"]) for r in table.filter(F.col("texts") > max(spec.hot_share * total, 1)).collect()}
     hot = {w: ids for w, ids in hot.items() if 0 < len(ids) <= _MOST_FILLED}
-    rows = docs.select("uid", "_text").mapInArrow(_split(spec.path, hot), _SPLIT_DDL)
+    rows = docs.select("k1", "k2", "_text").mapInArrow(_split(spec.path, hot), _SPLIT_DDL)
     # Texts' own rows go along under keys of their own, spread by text, that no word equals; so one pass gives both kinds.
-    key = F.coalesce("word", F.concat(F.lit("\0"), F.col("uid").cast("string")))
+    key = F.coalesce("word", F.concat(F.lit("\0"), F.col("k1").cast("string")))
     met = rows.withColumn("word", key).join(table.select("word", "ids"), "word", "left")
+    # Equal rows meet in one group; their words are then placed more than once, to the same end.
     joined = F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))).alias("joined")
-    every = met.groupBy("uid").agg(F.max("sizes").alias("sizes"), F.max("filled").alias("filled"), joined)
-    placed = every.select("uid", "sizes", "filled", "joined").mapInArrow(_placed, "uid long, ids array<int>")
-    return docs.select("uid", "_id").join(placed, "uid").select(F.col("_id").alias(id_col), "ids")
+    every = met.groupBy("k1", "k2").agg(F.max("sizes").alias("sizes"), F.max("filled").alias("filled"), joined)
+    placed = every.select("k1", "k2", "sizes", "filled", "joined").mapInArrow(_placed, "k1 long, k2 long, ids array<int>")
+    return docs.select("k1", "k2", "_id").join(placed, ["k1", "k2"]).select(F.col("_id").alias(id_col), "ids")
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -201,13 +209,15 @@ def decode(df: DataFrame, id_col: str, ids_col: str, spec: EncodeSpec = EncodeSp
     spark = df.sparkSession
     # The vocabulary is fixed by the tokenizer's file: some fifty thousand short pieces.
     vocabulary = F.broadcast(spark.createDataFrame(pieces, "piece_id int, piece binary"))
-    rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("_id"), F.col(ids_col).alias("_ids"))
-    spread = rows.select("uid", F.posexplode("_ids").alias("at", "piece_id")).join(vocabulary, "piece_id")
+    rows = df.select(F.col(id_col).alias("_id"), F.col(ids_col).alias("_ids")).select(*_keys("_id", "_ids"), "_id", "_ids")
+    lists = rows.select("k1", "k2", "_ids").dropDuplicates(["k1", "k2"])
+    spread_ids = lists.select("k1", "k2", F.posexplode("_ids").alias("at", "piece_id")).join(vocabulary, "piece_id")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [b"".join(x["piece"] for x in sorted(row, key=lambda x: x["at"])).decode("utf-8", "replace") for row in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["uid", "text"])
+            texts = [b"".join(x["piece"] for x in sorted(row, key=lambda x: x["at"])).decode("utf-8", "replace") for row in batch.column(2).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["k1", "k2", "text"])
 
-    texts = spread.groupBy("uid").agg(F.collect_list(F.struct("at", "piece")).alias("row")).mapInArrow(joined, "uid long, text string")
-    return rows.select("uid", "_id").join(texts, "uid", "left").select(F.col("_id").alias(id_col), F.coalesce("text", F.lit("")).alias("text"))
+    gathered = spread_ids.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "piece")).alias("row"))
+    texts = gathered.mapInArrow(joined, "k1 long, k2 long, text string")
+    return rows.select("k1", "k2", "_id").join(texts, ["k1", "k2"], "left").select(F.col("_id").alias(id_col), F.coalesce("text", F.lit("")).alias("text"))
