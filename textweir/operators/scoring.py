@@ -42,9 +42,12 @@ def lm_scores(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     A mean needs no order: each text's words are counted, then priced once per distinct word.
     """
     texts = df.select(F.col(id_col).alias("id"), T.words(F.lower(T.text_or_empty(text_col))).alias("ws"))
-    counted = texts.select("id", F.posexplode("ws").alias("at", "token")).groupBy("id", "token").agg((F.count(F.lit(1)) - F.count_if(F.col("at") == 0)).alias("n"))
+    counted = texts.select("id", F.posexplode("ws").alias("at", "token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("at") > 0).alias("n"))
+    # The model comes from the same counts, whose exchange is used twice.
+    totals = counted.groupBy("token").agg(F.sum("all").alias("all"))
+    model = totals.join(F.broadcast(totals.agg(F.sum("all").alias("total")))).select("token", (F.col("all") / F.col("total")).alias("p"))
     loss = -F.log(F.greatest("p", F.lit(FLOOR)))
-    summed = counted.join(unigrams(df, text_col), "token").groupBy("id").agg(F.sum(F.col("n") * loss).alias("total"))
+    summed = counted.join(model, "token").groupBy("id").agg(F.sum(F.col("n") * loss).alias("total"))
     rows = texts.select("id", F.size("ws").cast("long").alias("num_tokens")).join(summed, "id", "left")
     avg = F.when(F.col("num_tokens") < 2, F.lit(0.0)).otherwise(F.col("total") / (F.col("num_tokens") - 1))
     return rows.select(F.col("id").alias(id_col), "num_tokens", avg.alias("avg_score")).withColumn("perplexity", F.exp("avg_score"))

@@ -464,7 +464,7 @@ def _command_sql() -> str:
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = spark.createDataFrame(list(enumerate(COMMAND_TEXTS, 1)), "id long, t string")
-    every = table(spark, sf_dir, "refined_commands_filtered").select(F.col("record_id").alias("id"), T.text_or_empty("text").alias("t")).unionByName(fixed)
+    every = spread(table(spark, sf_dir, "refined_commands_filtered").select(F.col("record_id").alias("id"), T.text_or_empty("text").alias("t"))).unionByName(fixed)
     counted = every.select("id", F.length("t").alias("n"), C.command_counts(F.col("t")).alias("counts"))
     return counted.select("id", C.command_scores(F.col("counts"), F.col("n")).alias("c")).select("id", "c.*")
 
