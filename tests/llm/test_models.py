@@ -80,6 +80,15 @@ def test_edge_texts(texts):
     assert len(a.scores(texts)[0]) == len(texts)
 
 
+def test_models_dont_share_dictionaries():
+    for k in range(20):  # models come and go, as in a reused worker
+        own = f"zzq{k} brrk wumpus{k} frobnicate"
+        m = abuse.fit_abuse([(f"plain sentence number {k} about the budget.", False)] * 3 + [(own, True)] * 3)
+        toxic, _ = m._tools()
+        # Only a dictionary with these words makes them shorter than they are; the frame alone takes nine bytes.
+        assert len(toxic(own.encode())) < len(own)
+
+
 def test_divergence_is_bounded_and_symmetric():
     rng = np.random.default_rng(0)
     p, q = rng.dirichlet(np.ones(6)), rng.dirichlet(np.ones(6))

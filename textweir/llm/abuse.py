@@ -218,19 +218,22 @@ class AbuseModel:
     level: int
 
     def _tools(self):
-        tools = _TOOLS.get(id(self))
-        if tools is None:
+        # The model is held with its tools, so that another one at the same place in memory isn't taken for it.
+        if _TOOLS.get("model") is not self:
             made = []
             for data in (self.toxic, self.ordinary):
                 d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=self.level)
                 made.append(_compressor(d, self.level))
-            _TOOLS.clear()
-            tools = _TOOLS[id(self)] = made
-        return tools
+            _TOOLS.update(model=self, made=made)
+        return _TOOLS["made"]
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, list[str]]:
-        """The score of each text's worst window (0 to 1), and the window."""
+        """The score of each text's worst window (0 to 1), and the window.
+
+        Empty and blank texts, and texts without a suspect window, have 0 and no window. Long texts are
+        scored whole; equal windows score the same, the first of them is named.
+        """
         found = [windows_of(t) for t in texts]
         flat = [w for f in found for w in f]
         value, worst = np.zeros(len(texts)), [""] * len(texts)
@@ -249,7 +252,7 @@ _TOOLS: dict = {}
 
 
 def fit_abuse(rows: list[tuple[str, bool]], spec: AbuseSpec = AbuseSpec()) -> AbuseModel:
-    """Fit dictionaries, curve and threshold on labelled texts; works from the written examples alone too."""
+    """Fit dictionaries, curve and threshold on labelled texts; empty ones don't count. Works from the written examples alone too."""
     texts = [(windows_of(t), y) for t, y in rows]
     texts = [(w, y) for w, y in texts if w]
     negative = [w for w, y in texts if not y]

@@ -16,7 +16,8 @@ def training_rows(
 
     The bound is on labelled records only and keeps fitting on the driver small; the
     fitted model is applied to all rows. Answers are trimmed and lower-cased; only those
-    in ``answers`` count, where given.
+    in ``answers`` count, where given. Rows with a null id, answer or text don't count; a repeated id counts once;
+    empty tables give no rows. Other columns are ignored.
     """
     said = F.lower(F.trim("answer"))
     if answers:

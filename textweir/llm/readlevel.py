@@ -133,6 +133,7 @@ class LevelModel:
         return x @ self.weights
 
     def levels(self, texts: list[str]) -> np.ndarray:
+        """A level for each text, also for empty ones and other languages, where it says nothing; queries leave those out."""
         return 1 + (self.score(texts)[:, None] > self.cuts).sum(1) if texts else np.zeros(0, dtype=int)
 
 

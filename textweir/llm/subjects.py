@@ -91,6 +91,7 @@ class SubjectModel:
         return counted / np.maximum(units_in, 1)[:, None], mixture
 
     def assign(self, texts: list[str]) -> list[list[str]]:
+        """The subjects of each text in order of the alphabet; none for empty texts, junk and texts without a known term."""
         shares, _ = self.shares(texts)
         return [[self.subjects[j] for j in np.flatnonzero(row >= self.cut)] for row in shares]
 

@@ -138,7 +138,10 @@ def _odd_word(word: str) -> bool:
 
 
 def statistics(texts: list[str]) -> tuple[np.ndarray, list[str]]:
-    """A row of ``STATISTICS`` for each text, and the language whose prose profile is nearest."""
+    """A row of ``STATISTICS`` for each text, and the language whose prose profile is nearest.
+
+    Texts are taken whole. An empty or blank text has zeros for all shares and counts, 1 for ``n_chars`` at the least.
+    """
     n = len(texts)
     if not n:
         return np.zeros((0, len(STATISTICS))), []
