@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 
 def training_rows(
-    texts: DataFrame, labels: DataFrame, aspect: str, most: int, answers: list[str] | None = None, id_col: str = "record_id", text_col: str = "text"
+    texts: DataFrame, labels: DataFrame, aspect: str, most: int, answers: list[str] | None = None, longest: int = 50_000, id_col: str = "record_id", text_col: str = "text"
 ) -> list[tuple[str, list[str]]]:
     """(text, answers) of at most ``most`` labelled records of one aspect, in an order set by a hash of the id.
 
-    The bound is on labelled records only and keeps fitting on the driver small; the
-    fitted model is applied to all rows. Answers are trimmed and lower-cased; only those
+    The bounds are on the training sample only and keep fitting on the driver small: at most
+    ``most`` texts, none over ``longest`` characters. The fitted model is applied to all rows, whole. Answers are trimmed and lower-cased; only those
     in ``answers`` count, where given. Rows with a null id, answer or text don't count; a repeated id counts once;
     empty tables give no rows. Other columns are ignored.
     """
@@ -32,7 +32,7 @@ def training_rows(
     # At most `most` ids and answers: small enough to send to every task whatever the table's size.
     rows = (
         texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-        .filter(F.col("_text").isNotNull())
+        .filter(F.length("_text") <= longest)
         .join(F.broadcast(chosen), "_id")
         .select("_id", "_text", "_answers")
         .toPandas()
