@@ -103,6 +103,16 @@ def test_ivf_recall(spark):
     assert len(exact & found) / len(exact) >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_ivf_recall_of_the_registered_setting(spark, sf):
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    q = rows.filter("id % 20 = 0")
+    # A row is its own nearest, whatever is probed; only the others say something.
+    exact = {(r["query_id"], r["id"]) for r in similarity.top_k(q, rows, similarity.TopK(k=5, metric="l2")).collect() if r["query_id"] != r["id"]}
+    found = {(r["query_id"], r["id"]) for r in similarity.ivf_top_k(q, rows, 5).collect()}
+    assert len(exact & found) / len(exact) >= 0.9
+
+
 def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.jsonl").write_text('{"text": "good", "n": 1}\n\n{broken\n{"text": null, "n": 2}\n', encoding="utf-8")
