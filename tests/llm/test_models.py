@@ -61,6 +61,20 @@ def test_disguises_are_taken_off():
         assert abuse.undisguised(raw) == bare
 
 
+def test_every_window_is_scored():
+    train, test = labelled("abuse")
+    m = abuse.fit_abuse([(t, a == ["yes"]) for t, a in train if len(a) == 1])
+    plain = [w for t, a in test if a == ["no"] for w in abuse.windows_of(t) if 10 <= len(w.split()) <= 16]
+    insults = [x for x in abuse.TOXIC_EXAMPLES if len(x.split()) in (4, 5)]
+    texts = [" ".join([*w.split()[:5], insults[i % len(insults)], *w.split()[5:]]) for i, w in enumerate(plain)]
+    scores, worst = m.scores(texts)
+    # Ordinary words around an insult make the whole window nearer to the ordinary dictionary; it must be scored all the same.
+    assert len(texts) > 100 and (scores > 0).all() and all(worst)
+    flat = [w for t, _ in test for w in abuse.windows_of(t)]
+    toxic, ordinary = m._tools()
+    assert abuse._bare(flat, toxic, ordinary)[0] == [abuse.undisguised(w) for w in flat]
+
+
 def test_abuse_from_examples_alone():
     m = abuse.fit_abuse([])
     scores, _ = m.scores(["Shut up, you stupid idiot.", "The committee discussed the budget for next year."])

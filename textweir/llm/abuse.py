@@ -75,7 +75,7 @@ _SPELT = re.compile(r"(?<!\w)(?:[a-zà-ÿ*@$][ .\-_]){2,}[a-zà-ÿ*@$](?!\w)")
 _LONG = re.compile(r"([^\W\d_])\1{2,}")
 _NUMBER = re.compile(r"\d+")
 _SPACE = re.compile(r"\s{2,}|[^\S ]")
-LONGEST, STEP, RUN, NEAR = 14, 7, 6, 8
+LONGEST, STEP, RUN = 14, 7, 6
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _WORDS = re.compile(r"[^\W\d_]+")
 _LABEL = re.compile(r"\s*(?:[^\W\d_]+: |[-*>]+ |\d+[.)] )")
@@ -160,20 +160,10 @@ def _lengths(windows: list[str], toxic, ordinary) -> np.ndarray:
     return out
 
 
-def _suspects(windows: list[str], toxic, ordinary) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Windows that the ordinary dictionary doesn't shorten much more than the toxic one, without disguises; no other can score.
-
-    Gives the windows, their lengths and their places.
-    """
-    lengths = _lengths(windows, toxic, ordinary)
-    at = np.flatnonzero(lengths[:, 1] <= lengths[:, 2] + NEAR)
-    bare = [undisguised(windows[i]) for i in at]
-    changed = [k for k, i in enumerate(at) if bare[k] != windows[i]]
-    lengths = lengths[at]
-    if changed:
-        lengths[changed] = _lengths([bare[k] for k in changed], toxic, ordinary)
-    keep = np.flatnonzero(lengths[:, 1] <= lengths[:, 2] + NEAR)
-    return [bare[k] for k in keep], lengths[keep], at[keep]
+def _bare(windows: list[str], toxic, ordinary) -> tuple[list[str], np.ndarray]:
+    """All windows without disguises, and their lengths. Windows hold no line feed and no disguise crosses one, so all are undone at once."""
+    bare = undisguised("\n".join(windows)).split("\n") if windows else []
+    return bare, _lengths(bare, toxic, ordinary)
 
 
 def _features(windows: list[str], lengths: np.ndarray, toxic, ordinary) -> np.ndarray:
@@ -231,7 +221,7 @@ class AbuseModel:
     def scores(self, texts: list[str]) -> tuple[np.ndarray, list[str]]:
         """The score of each text's worst window (0 to 1), and the window.
 
-        Empty and blank texts, and texts without a suspect window, have 0 and no window. Long texts are
+        Empty and blank texts have 0 and no window. Long texts are
         scored whole; equal windows score the same, the first of them is named.
         """
         found = [windows_of(t) for t in texts]
@@ -240,11 +230,11 @@ class AbuseModel:
         if flat:
             toxic, ordinary = self._tools()
             of = np.repeat(np.arange(len(texts)), [len(f) for f in found])
-            some, lengths, at = _suspects(flat, toxic, ordinary)
-            z = _features(some, lengths, toxic, ordinary) @ self.weights[:-1] + self.weights[-1] if some else np.zeros(0)
-            for i, w, score in zip(at, some, 1 / (1 + np.exp(-np.clip(z, -30, 30)))):
-                if score > value[of[i]]:
-                    value[of[i]], worst[of[i]] = score, w
+            bare, lengths = _bare(flat, toxic, ordinary)
+            z = _features(bare, lengths, toxic, ordinary) @ self.weights[:-1] + self.weights[-1]
+            for i, w, score in zip(of, bare, 1 / (1 + np.exp(-np.clip(z, -30, 30)))):
+                if score > value[i]:
+                    value[i], worst[i] = score, w
         return value, worst
 
 
@@ -271,9 +261,9 @@ def fit_abuse(rows: list[tuple[str, bool]], spec: AbuseSpec = AbuseSpec()) -> Ab
     unusual = _unusual([[undisguised(w) for w in ws] for ws in positive], negative)
 
     def judged(windows: list[str], other: int) -> tuple[np.ndarray, list[str]]:
-        """Features of the suspect windows, and these windows."""
-        some, lengths, _ = _suspects(windows, toxic_now[other], ordinary[other])
-        return _features(some, lengths, toxic_now[other], ordinary[other]), some
+        """Features of the windows, and these without disguises."""
+        bare, lengths = _bare(windows, toxic_now[other], ordinary[other])
+        return _features(bare, lengths, toxic_now[other], ordinary[other]), bare
 
     for _ in range(spec.turns):
         # Lengths always come from dictionaries of the other half, as they will for unseen texts.
@@ -282,8 +272,8 @@ def fit_abuse(rows: list[tuple[str, bool]], spec: AbuseSpec = AbuseSpec()) -> Ab
             if not len(weights):
                 picked.append(first)
                 continue
-            f, some = judged(ws, 1 - s)
-            picked.append([w for w, z in zip(some, f @ weights[:-1] + weights[-1]) if z > spec.pick_above])
+            f, bare = judged(ws, 1 - s)
+            picked.append([w for w, z in zip(bare, f @ weights[:-1] + weights[-1]) if z > spec.pick_above])
         toxic_now = [
             _compressor(_dictionary(TOXIC_EXAMPLES + list(dict.fromkeys(w for s, ws in zip(side_p, picked) if s == side for w in ws)), size, level), level)
             for side in (0, 1)
@@ -310,8 +300,8 @@ def fit_abuse(rows: list[tuple[str, bool]], spec: AbuseSpec = AbuseSpec()) -> Ab
     z_all = []
     for group, sides, label in ((negative, side_n, 0), (positive, side_p, 1)):
         for s, ws in zip(sides, group):
-            f, some = judged(ws, 1 - s)
-            z_all.append((float((f @ weights[:-1] + weights[-1]).max()) if some else -99.0, label))
+            f, _ = judged(ws, 1 - s)
+            z_all.append((float((f @ weights[:-1] + weights[-1]).max()), label))
     threshold = _best_cut(z_all)
     final_t, final_o = TOXIC_EXAMPLES + list(dict.fromkeys(w for ws in picked for w in ws)), plain(None)
     dt, do = _dictionary(final_t, size, level), _dictionary(final_o, size, level)
