@@ -175,6 +175,25 @@ def test_comprehensive_stages(spark):
     assert rows[1] == rows[3] == ("preselect", False) and rows[2] == (None, True)
 
 
+def test_combined_preselect_rejects_by_similarity(spark):
+    from textweir.functions import rules as R
+    from textweir.queries import core
+
+    sf = "/root/testdata/sf0.01"
+    rule = core.featured(spark, sf).select("doc_id", R.enhanced_checks().alias("c")).select("doc_id", R.enhanced_preselect(F.col("c")).alias("rule"))
+    near = core.sim_tfidf(spark, sf).groupBy("doc_id").agg(F.max("similarity").alias("similarity"))
+    rows = core.plan_combined_preselect(spark, sf).join(rule, "doc_id").join(near, "doc_id").collect()
+    outcomes = set()
+    for r in rows:
+        hints, own = r["hints"].split(",") if r["hints"] else [], r["rule"]["hints"] if r["rule"]["passed"] else []
+        outcomes.add((r["rule"]["passed"], r["passed"]))
+        assert r["passed"] == (r["rule"]["passed"] and r["similarity"] >= core.NEAR_DESCRIPTION)
+        want = [x for x, counts in ((r["rule"]["quality_score"], r["rule"]["passed"]), (r["similarity"], r["passed"])) if counts]
+        assert r["combined_score"] == pytest.approx(sum(want) / len(want) if want else 0, abs=2e-6)
+        assert (len(hints) == len(own) + 1 and hints[-1] in core.DESCRIBED) if r["passed"] else hints == own
+    assert outcomes == {(True, True), (True, False), (False, False)}
+
+
 def test_threshold_sweep_is_monotone(spark):
     df = spark.range(50).select((F.col("id") / 50).alias("s"))
     kept = [r["kept"] for r in scoring.threshold_sweep(df, "s", [0.1, 0.5, 0.9]).collect()]

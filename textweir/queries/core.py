@@ -960,13 +960,17 @@ def plan_comprehensive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.comprehensive(docs(spark, sf_dir)).select("doc_id", r6(F.col("overall_quality")).alias("overall_quality"), "category", "rejected_at", "should_include")
 
 
+#: The reference's 0.3 is for sentence vectors. As many documents of sf0.1 reach this TF-IDF cosine as vectors of its embeddings reach 0.3.
+NEAR_DESCRIPTION = 0.015
+
+
 @query()
 def plan_combined_preselect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules, then the best description's TF-IDF similarity in place of a sentence encoder."""
     near = similarity.tfidf_similarity(docs(spark, sf_dir), "doc_id", "text", DESCRIBED).groupBy("doc_id").agg(F.max(F.struct("similarity", "category")).alias("best"))
     checks = featured(spark, sf_dir).select("doc_id", R.enhanced_checks().alias("c"))
     rows = checks.select("doc_id", R.enhanced_preselect(F.col("c")).alias("rule")).join(near, "doc_id")
-    out = rows.select("doc_id", pipeline.combined_preselect(F.col("rule"), F.col("best.similarity"), F.col("best.category"), least=0.0).alias("p"))
+    out = rows.select("doc_id", pipeline.combined_preselect(F.col("rule"), F.col("best.similarity"), F.col("best.category"), least=NEAR_DESCRIPTION).alias("p"))
     return out.select("doc_id", "p.passed", r6(F.col("p.combined_score")).alias("combined_score"), F.array_join("p.hints", ",").alias("hints"))
 
 
