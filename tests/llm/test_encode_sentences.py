@@ -72,6 +72,13 @@ def test_rules(text):
     assert cut(text) == CASES[text]
 
 
+def test_capitals_are_counted_over_the_whole_text():
+    prose, numbers = "He came at 5 p.m. we left. " * 100, "123 456 789 12\n\n" * 300
+    assert len(numbers) > 4000
+    want = ["He came at 5 p.m. we left."] * 100
+    assert cut(prose) == want and cut(numbers + prose)[-100:] == want
+
+
 @pytest.mark.parametrize("text", [*(t for t in TEXTS), *CASES, "a.\r\n\r\nb", '"unclosed. quote. here', ")))", "." * 500, "(" * 3000, '"' * 3001, "x. " * 20_000, "-\n-\n- x"])
 def test_sentences_cover_everything_once(text):
     spans = sentences(text)

@@ -300,8 +300,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     if not text:
         return []
     out: list[tuple[int, int]] = []
-    some = text if len(text) < 4000 else text[:4000]
-    capitals = sum(map(str.isupper, some)) > 0.004 * len(some) and _mixed_case(text)
+    capitals = sum(map(str.isupper, text)) > 0.004 * len(text) and _mixed_case(text)
     at = 0
     edges = []
     for m in _BLANK.finditer(text):
