@@ -103,3 +103,10 @@ def test_items_that_never_fit_together(spark):
     df = spark.range(3000).select("id", (F.col("id") % 500 + 1025).alias("size"))
     out = pack(df, "id", "size", PackSpec(capacity=2048, items_a_task=100))
     assert out.select("container").distinct().count() == out.count() == 3000
+
+
+def test_few_small_items_of_all_partitions_meet(spark):
+    # Hardly any of the open containers can be merged, and those lie in different partitions.
+    df = spark.range(2000).select("id", F.when(F.col("id") < 16, 100).otherwise(1990).alias("size"))
+    out = pack(df, "id", "size", PackSpec(capacity=2048, fan_in=2)).select("container", "fill").distinct()
+    assert sorted(r["fill"] for r in out.collect()) == [1600] + [1990] * 1984

@@ -2,7 +2,7 @@
 
 Each partition packs its own items best-fit, largest first. Containers that are
 nearly full are done; the rest become items themselves and are packed again, best-fit,
-over ever fewer partitions (a tree), until one is left or nothing more fits together,
+over ever fewer partitions (a tree), until all have met in one or no two of them fit together,
 as where every item fills over half a container. An item larger
 than a container fills whole containers of its own and leaves a remainder, which is packed
 like any other item; nothing else is split.
@@ -31,8 +31,6 @@ class PackSpec:
     items_a_task: int = 200_000
     #: How many partitions' leftovers meet in one of the next round's.
     fan_in: int = 8
-    #: The tree ends where a round leaves more than this share of the open containers.
-    least_gain: float = 0.95
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,6 +103,15 @@ def _pack_partition(spec: PackSpec, level: int):
 _DDL = "item long, size long, bin long, fill long, first boolean"
 
 
+def _mergeable(bins: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """The containers that the smallest one fits into, and their number; no other can be merged."""
+    smallest = bins.agg(F.min("fill")).first()[0]
+    if smallest is None or 2 * smallest > capacity:
+        return bins, 0
+    some = bins.filter(F.col("fill") + smallest <= capacity)
+    return some, some.count()
+
+
 def pack(df: DataFrame, id_col: str, size_col: str, spec: PackSpec = PackSpec()) -> DataFrame:
     """(id, part, size, container) of every part of every row; ``fill`` is the container's total.
 
@@ -127,11 +134,13 @@ def pack(df: DataFrame, id_col: str, size_col: str, spec: PackSpec = PackSpec())
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     first = cut(small.repartition(width, "item").mapInArrow(_pack_partition(spec, 1), _DDL))
     least = int(np.ceil(spec.nearly_full * c))
-    merged, open_bins, level = None, first.filter(F.col("first") & (F.col("fill") < least)), 1
-    left = open_bins.count()
-    while width > 1 and left > 1:
+    merged, level, met = None, 1, False
+    open_bins, left = _mergeable(first.filter(F.col("first") & (F.col("fill") < least)), c)
+    # The smallest container fits into all others, so that each round leaves fewer.
+    while left > 1 and not met:
         # No task gets more than it can pack at a time.
         level, width = level + 1, max(-(-width // spec.fan_in), -(-left // spec.items_a_task))
+        met = width == 1
         now = cut(open_bins.select("bin", "fill").repartition(width, "bin").mapInArrow(_pack_partition(spec, level), _DDL))
         step = now.select(F.col("item").alias("_from"), F.col("bin").alias("_to"), F.col("fill").alias("_fill"))
         if merged is None:
@@ -139,10 +148,7 @@ def pack(df: DataFrame, id_col: str, size_col: str, spec: PackSpec = PackSpec())
         else:
             again = step.select(F.col("_from").alias("_mid"), F.col("_to").alias("_to2"), F.col("_fill").alias("_fill2"))
             merged = merged.join(again, merged["_to"] == again["_mid"], "left").select("_from", F.coalesce("_to2", "_to").alias("_to"), F.coalesce("_fill2", "_fill").alias("_fill"))
-        open_bins, before = now.filter(F.col("first") & (F.col("fill") < least)), left
-        left = open_bins.count()
-        if left > spec.least_gain * before:
-            break
+        open_bins, left = _mergeable(now.filter(F.col("first") & (F.col("fill") < least)), c)
     placed = first.select(F.col("item").alias("_uid"), "bin", "fill")
     if merged is not None:
         placed = placed.join(merged, placed["bin"] == merged["_from"], "left").select("_uid", F.coalesce("_to", "bin").alias("bin"), F.coalesce("_fill", "fill").alias("fill"))
