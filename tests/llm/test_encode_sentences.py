@@ -64,6 +64,20 @@ CASES = {
     "Am 3. Oktober kommt z. B. Herr Dr. Kurz. Gut.": ["Am 3. Oktober kommt z. B. Herr Dr. Kurz.", "Gut."],
     "„Halt. Noch nicht!“, rief er. Warum?": ["„Halt. Noch nicht!“, rief er.", "Warum?"],
     "¿Qué es? ¡Nada! La Sra. Ruiz vio la pág. 4.": ["¿Qué es?", "¡Nada!", "La Sra. Ruiz vio la pág. 4."],
+    # Words that are abbreviations in another language only, and there.
+    "He told me. I left the room.": ["He told me.", "I left the room."],
+    "Hier, le client a vu Me. Dupont. Il est sorti.": ["Hier, le client a vu Me. Dupont.", "Il est sorti."],
+    "I met Max. He was tired.": ["I met Max.", "He was tired."],
+    "She reached the max. Nobody else did.": ["She reached the max.", "Nobody else did."],
+    "Die Anlage hat eine max. Leistung von 5 Watt. Das ist gut.": ["Die Anlage hat eine max. Leistung von 5 Watt.", "Das ist gut."],
+    "The answer is no. 5 people left.": ["The answer is no.", "5 people left."],
+    "The house in the street, no. 5, was sold. It was old.": ["The house in the street, no. 5, was sold.", "It was old."],
+    "Give one to me. then we go.": ["Give one to me.", "then we go."],
+    "She sat. 5 minutes later he came.": ["She sat.", "5 minutes later he came."],
+    "She studied art. 5 years later she left.": ["She studied art.", "5 years later she left."],
+    "Selon l'art. 5 de la loi, le client a tort. Il paie.": ["Selon l'art. 5 de la loi, le client a tort.", "Il paie."],
+    "Das ist der Wagen von Fr. Weber. Ich komme mit. Danach gehen wir.": ["Das ist der Wagen von Fr. Weber.", "Ich komme mit.", "Danach gehen wir."],
+    "Она читает книгу, см. рис. 3 и стр. 7. Потом спит.": ["Она читает книгу, см. рис. 3 и стр. 7.", "Потом спит."],
 }
 
 

@@ -10,24 +10,28 @@ unchanged text.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import regex
 
+from textweir.llm.textkind import FUNCTION_WORDS
+
 # Fixed values, in lower case and without the last full stop.
 # Titles and the like, which a name follows.
 TITLES = frozenset(
     "mr mrs ms dr drs prof st ste rev gen capt cpt sgt lt col maj cmdr adm hon gov sen rep pres messrs mme mlle mm mgr me "
-    "hr hrn fr frl dipl ing sr sra srta dra dña don prof profa lic arq ing sig sigg dott avv ingg sra "
+    "hr hrn fr frl dipl ing sr sra srta dra dña prof profa lic arq ing sig sigg dott avv ingg "
     "г-н г-жа проф акад им тов гр डॉ श्री प्रो".split()
 )
 # Words that run on whatever follows.
 RUNNING = frozenset(
     "vs cf approx e.g i.e viz ca bzw ggf z.b d.h u.a u.ä vgl sog evtl inkl exkl bspw zzgl allg max min geb gest env ex ej p.ej p.ex c.-à-d núm nr abb bd kap "
-    "hrsg aufl jh jhd std tel str op resp incl excl pág págs pag cap gl гл рис табл стр см ср напр т.е т.к т.н ул пр обл св др.-греч opp mit al.i ibid".split()
+    "hrsg aufl jh jhd std tel str resp incl excl pág págs pag cap gl гл рис табл стр см ср напр т.е т.к т.н ул пр обл св др.-греч opp ibid".split()
 )
 # References, which run on before a number or a lower-case letter.
 NUMBERED = frozenset(
-    "fig figs eq eqs no nos vol vols p pp ch chap chaps sec secs art arts ed éd eds par para nr abb bd kap s seite t tom núm n.º pág pt v ver thm lem prop cor def "
-    "п пп ст № рис табл т ч гл bldg rm apt lot item jan feb mar apr jun jul aug sep sept oct nov dec mon tue wed thu fri sat sun "
+    "fig figs eq eqs no nos vol vols p pp ch chap chaps sec secs art arts ed éd eds par para nr abb bd kap s seite t tom núm n.º pág pt v ver max thm lem prop cor def "
+    "п пп ст № рис табл т ч гл bldg rm apt jan feb mar apr jun jul aug sep sept oct nov dec mon tue wed thu fri sat sun "
     "janv févr avr juil sept oct nov déc ene abr ago dic jän mär okt dez янв февр апр авг сент окт нояб дек h min".split()
 )
 # Words that may end a sentence: they do when a capital follows.
@@ -35,6 +39,47 @@ ENDING = frozenset(
     "etc inc ltd co corp jr sr bros esq dept est ave blvd rd univ assn govt al usw uvm osv ff a.m p.m u.s u.n u.k u.s.a ph.d b.a m.a m.d d.c r.i.p "
     "d.c a.c s.a s.l ee.uu г гг в вв тыс млн млрд руб коп д п др т.д т.п пр н.э и.о стр".split()
 )
+# Of these, the ones that are ordinary words elsewhere: the languages in which they are abbreviations, and how they are written there.
+ONLY_IN = {
+    "me": {"fr": "Capital"},
+    "mm": {"fr": "CAPITALS"},
+    "fr": {"de": "Capital"},
+    "hr": {"de": "Capital"},
+    "col": {"en": "Capital"},
+    "rep": {"en": "Capital"},
+    "sen": {"en": "Capital"},
+    "hon": {"en": "Capital"},
+    "gov": {"en": "Capital"},
+    "maj": {"en": "Capital"},
+    "pres": {"en": "Capital"},
+    "gen": {"en": "Capital", "de": "Capital"},
+    "sig": {"it": "any"},
+    "ing": {"de": "Capital", "es": "any", "it": "any", "pt": "any"},
+    "lic": {"es": "any"},
+    "max": {"de": "small", "en": "number", "es": "small", "fr": "small", "it": "small", "nl": "small", "pt": "small"},
+    "min": {"de": "small", "en": "number", "es": "small", "fr": "small", "it": "small", "nl": "small", "pt": "small"},
+    "ex": {"es": "small", "fr": "small", "pt": "small"},
+    "env": {"fr": "small"},
+    "ej": {"es": "small"},
+    "cap": {"es": "any", "it": "any", "pt": "any"},
+    "tel": {"de": "any", "en": "any", "es": "any", "it": "any", "pt": "any"},
+    "no": {"en": "number", "fr": "number"},
+    "nos": {"en": "number", "fr": "number"},
+    "art": {"de": "any", "en": "Capital", "es": "any", "fr": "any", "it": "any", "pt": "any"},
+    "arts": {"en": "Capital", "es": "any", "fr": "any"},
+    "par": {"en": "Capital"},
+    "para": {"en": "any"},
+    "sat": {"en": "Capital"},
+    "sun": {"en": "Capital"},
+    "mon": {"en": "Capital"},
+    "mar": {"en": "Capital"},
+    "ago": {"es": "small"},
+    "ver": {"en": "any"},
+    "tom": {"fr": "any"},
+    "est": {"en": "any"},
+}
+# Verbs after which "no" is an answer, also before a number.
+ANSWERS = frozenset("is was be are were been say says said answer answers answered mean means meant est était dit".split())
 # Words that close an enumeration, which may end a sentence before a small letter too where a text has no capitals.
 CLOSING_LIST = frozenset("etc usw uvm".split())
 # Words that go on after an hour of the day.
@@ -68,7 +113,7 @@ _BULLET = regex.compile(r"[^\S\n]*(?:[-*•+‣▪◦●○–—·](?=\s)|\[[ x
 _NUMBERED_ITEM = regex.compile(r"[^\S\n]*(?:\(?\p{Nd}{1,3}(?:\.\p{Nd}{1,3})*([.)、．])|\(?[\p{Ll}\p{Lu}](\)))(?=\s|(?<=[、．])\S)\s*")
 _TURN = regex.compile(r"[^\S\n]*([\p{Lu}\p{Lo}\p{Lt}][\p{L}\p{M}'’.-]*(?: [\p{L}\p{M}\p{N}'’.-]+){0,2})(?:[^\S\n]?:[^\S\n]|：)\s*(?=\S)")
 _THAI_GAP = regex.compile(r"(?<=[ก-๎])\s+(?=[ก-๎])")
-_WORD_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}.'’ºª-]+$")
+_WORD_BEFORE = regex.compile(r"(?r)[\p{L}\p{M}\p{N}.'’ºª-]+")
 _MARKS = regex.compile("[\"“”„«»‹›「」『』（）()\\[\\]{}【】《》〈〉〝〟]")
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "{": "}", "【": "】", "《": "》", "〈": "〉", "〝": "〟", '"': '"'}
 _BRACKETS = "(（[{【"
@@ -78,6 +123,52 @@ _CAPITAL = regex.compile(r"[\p{Lu}\p{Lt}]")
 #: No word of these scripts lacks a vowel sign; what does is shortened.
 _UNSPEAKABLE = regex.compile(r"[bcdfghjklmnpqrstvwxzßç]{2,}|[бвгджзклмнпрстфхцчшщ]{2,}")
 _SMALL = regex.compile(r"\p{Ll}")
+_UPPER = regex.compile(r"\p{Uppercase}")
+_APOSTROPHE = regex.compile("['’]")
+_LAST_WORD = regex.compile(r"(\p{L}+)\s*$")
+_LAST_LETTER = regex.compile(r"(\p{L})\.?\s?$")
+_INITIALS = regex.compile(r"(?:\p{L}\.)+\p{L}")
+_STARTS = regex.compile(r"(?:^|[.!?][\"”»)]* |\n)[\"“„«¿¡(]*([\p{Lu}\p{Ll}])(?=\p{Ll}|\s)")
+
+
+@lru_cache(10_000)
+def _case(c: str) -> tuple[bool, bool]:
+    """Whether a character is a capital, and whether it is a small letter."""
+    return bool(_CAPITAL.match(c)), bool(_SMALL.match(c))
+
+
+_LANGUAGES: dict[str, list[str]] = {}
+for _name, _listed in FUNCTION_WORDS.items():
+    for _w in _listed.split():
+        _LANGUAGES.setdefault(_w, []).append(_name)
+
+
+@lru_cache(16)
+def _language(text: str) -> str | None:
+    """The language whose function words fill most of the text; none where no language leads clearly."""
+    score = dict.fromkeys(FUNCTION_WORDS, 0.0)
+    for w in _FIRST_WORDS.findall(text.lower()):
+        at = _LANGUAGES.get(w, ())
+        for name in at:
+            score[name] += 1 / len(at)
+    best, second = sorted(score.values(), reverse=True)[:2]
+    return max(score, key=score.get) if best >= 1 and best > 1.2 * second else None
+
+
+def _meant(text: str, begin: int, end: int, at: int, word: str, digit: bool) -> bool:
+    """Whether a word of ``ONLY_IN`` at ``at`` is an abbreviation: by the language of its line or list item, else of the text, and its letters."""
+    language = _language(text[begin:end]) or _language(text)
+    form = ONLY_IN[word.lower()].get(language)
+    if form == "Capital":
+        return word[0].isupper()
+    if form == "CAPITALS":
+        return word.isupper()
+    if form == "small":
+        return word.islower()
+    if form == "number":
+        before = _FIRST_WORDS.findall(text, max(begin, at - 20), at)
+        return digit and not (word.islower() and before and before[-1].lower() in ANSWERS)
+    return form == "any"
 
 
 def _lines(text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -173,12 +264,13 @@ def _speaker_follows(text: str, at: int, end: int) -> bool:
 
 def _stop_ends(text: str, begin: int, dot: int, after: int, nxt: int, end: int, capitals: bool) -> bool:
     """Whether the full stop at ``dot`` ends a sentence; ``after`` is behind it and its closing marks, ``nxt`` the next visible character."""
-    m = _WORD_BEFORE.search(text, max(begin, dot - 60), dot)
-    word = regex.split(r"['’]", m.group())[-1].lstrip(".-") if m else ""
+    m = _WORD_BEFORE.match(text, max(begin, dot - 60), dot)
+    word = _APOSTROPHE.split(m.group())[-1].lstrip(".-") if m else ""
     degree = dot > len(word) and text[dot - len(word) - 1] in "°º"
     low = word.lower()
     c = text[nxt]
-    upper, small, digit = bool(_CAPITAL.match(c)), bool(_SMALL.match(c)), c.isnumeric()
+    upper, small = _case(c)
+    digit = c.isnumeric()
     if nxt == after and nxt == dot + 1 and (c.isalnum() or c in "_/\\@"):
         if c.isdigit() or not word or word[-1].isdigit() or "." in word:
             return False
@@ -190,12 +282,14 @@ def _stop_ends(text: str, begin: int, dot: int, after: int, nxt: int, end: int,
         return False
     if not word:
         return True
+    if low in ONLY_IN and not _meant(text, begin, end, dot - len(word), word, digit):
+        return True
     if low in TITLES:
         return False
     if low in CLOSING_LIST:
         return not small or not capitals
     if word.isdigit():
-        before = regex.search(r"(\p{L}+)\s*$", text[max(begin, m.start() - 20) : m.start()])
+        before = _LAST_WORD.search(text[max(begin, m.start() - 20) : m.start()])
         following = _FIRST_WORDS.match(text, nxt)
         if following and following.group().lower() in AFTER_ORDINAL and len(word) < 3:
             return False
@@ -204,7 +298,7 @@ def _stop_ends(text: str, begin: int, dot: int, after: int, nxt: int, end: int,
         return True
     bare = low.replace(".", "")
     if len(bare) == 1 and bare.isalpha() and not degree:
-        prior = regex.search(r"(\p{L})\.?\s?$", text[max(begin, m.start() - 3) : m.start()])
+        prior = _LAST_LETTER.search(text[max(begin, m.start() - 3) : m.start()])
         if prior and prior.group(1).lower() + bare in ("am", "pm", "тд", "тп", "нэ") or low in ENDING:
             return not small and not digit
         return False
@@ -218,7 +312,7 @@ def _stop_ends(text: str, begin: int, dot: int, after: int, nxt: int, end: int,
         # Without capitals to go by: a new sentence, unless the hour's phrase goes on.
         following = _FIRST_WORDS.match(text, nxt)
         return following is None or following.group() not in AFTER_HOUR
-    if low in ENDING or regex.fullmatch(r"(?:\p{L}\.)+\p{L}", low):
+    if low in ENDING or _INITIALS.fullmatch(low):
         return not small and not digit and (low in ENDING or upper)
     return True
 
@@ -260,7 +354,7 @@ def _run_cuts(text: str, begin: int, start: int, end: int, capitals: bool) -> li
         if nxt >= end:
             break
         c = text[nxt]
-        upper, small = bool(_CAPITAL.match(c)), bool(_SMALL.match(c))
+        upper, small = _case(c)
         if kind == "span":
             opened = not text[last:s].strip()
             if c in ",;:،؛、，；：" or _TERM.match(c):
@@ -300,7 +394,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     if not text:
         return []
     out: list[tuple[int, int]] = []
-    capitals = sum(map(str.isupper, text)) > 0.004 * len(text) and _mixed_case(text)
+    capitals = len(_UPPER.findall(text)) > 0.004 * len(text) and _mixed_case(text)
     at = 0
     edges = []
     for m in _BLANK.finditer(text):
@@ -332,5 +426,5 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
 
 def _mixed_case(text: str) -> bool:
     """Whether sentences of the text begin with capitals: most first letters after end marks and at line starts do."""
-    starts = regex.findall(r"(?:^|[.!?][\"”»)]* |\n)[\"“„«¿¡(]*([\p{Lu}\p{Ll}])(?=\p{Ll}|\s)", text)
+    starts = _STARTS.findall(text)
     return not starts or sum(c.isupper() for c in starts) * 3 >= len(starts)
