@@ -1,5 +1,7 @@
 """Subjects, abuse, reading level and text kind: held-out accuracy on the hand labels, and edge rows."""
 
+import os
+
 import duckdb
 import numpy as np
 import pytest
@@ -53,11 +55,29 @@ def test_abuse_held_out():
     m = abuse.fit_abuse([(t, a == ["yes"]) for t, a in train if len(a) == 1])
     scores, _ = m.scores([t for t, _ in test])
     said, truth = scores >= m.threshold, np.array([a == ["yes"] for _, a in test])
-    assert (said & ~truth).sum() <= 0.02 * len(test) and (said & truth).sum() >= 0.3 * truth.sum()
+    # With 20 or so abusive texts to learn from, of which some are mislabelled.
+    assert (said & ~truth).sum() <= 0.02 * len(test) and (said & truth).sum() >= 0.5 * truth.sum()
+
+
+def labelled_abuse(sf):
+    return duckdb.sql(
+        f"""SELECT any_value(text), min(lower(trim(answer))) FROM '/root/testdata/{sf}/record_labels.parquet' JOIN '/root/testdata/{sf}/refined_commands_filtered.parquet' r USING (record_id)
+        WHERE aspect = 'abuse' AND trim(text) <> '' GROUP BY record_id HAVING count(DISTINCT lower(trim(answer))) = 1 ORDER BY record_id"""
+    ).fetchall()
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/check_l"), reason="needs the larger tables")
+def test_abuse_held_out_with_many_labels():
+    train, test = labelled_abuse("check_l"), labelled_abuse("check_s") + labelled_abuse("sf0.1")
+    m = abuse.fit_abuse([x for x in ((t, a == "yes") for t, a in train) if x[1]] + [(t, False) for t, a in train if a == "no"][:5000])
+    scores, _ = m.scores([t for t, _ in test])
+    said, truth = scores >= m.threshold, np.array([a == "yes" for _, a in test])
+    # 19 of the 74 labelled abusive have no abusive passage, so 0.74 is all that can be found of them.
+    assert (said & ~truth).sum() <= 0.06 * said.sum() and (said & truth).sum() >= 0.7 * truth.sum()
 
 
 def test_disguises_are_taken_off():
-    for raw, bare in (("sh1t", "shit"), ("a$$hole", "asshole"), ("f u c k", "fuck"), ("fuuuuck", "fuck"), ("i​diot", "idiot"), ("UD6704", "ud0")):
+    for raw, bare in (("sh1t", "shit"), ("a$$hole", "asshole"), ("f u c k", "fuck"), ("y.o.u a.r.e a f.u.c.k.i.n.g", "you are a fucking"), ("s h u t  u-p", "shut  u-p"), ("s-h-u-t u.p.s you", "shut ups you"), ("fuuuuck", "fuck"), ("i​diot", "idiot"), ("UD6704", "ud0")):
         assert abuse.undisguised(raw) == bare
 
 

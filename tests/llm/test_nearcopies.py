@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from textweir.llm.nearcopies import NearCopySpec, expand_pairs, near_copies, near_copy_classes, words
+from textweir.llm.nearcopies import NearCopies, NearCopySpec, expand_pairs, near_copies, near_copy_classes, words
 
 
 def brute(rows, spec):
@@ -77,3 +77,16 @@ def test_edges(spark):
     assert sorted(r["id"] for r in near_copy_classes(near).collect()) == [5, 6, 7, 8]  # the long text repeats the same runs
     empty = near_copies(df.limit(0), "id", "text", NearCopySpec())
     assert expand_pairs(empty).count() == 0 and near_copy_classes(empty).count() == 0
+
+
+def test_unreachable_recall_is_an_error():
+    with pytest.raises(ValueError):
+        NearCopySpec(threshold=0.09).bands_and_rows()
+
+
+def test_large_classes_are_expanded_once(spark):
+    m = spark.range(1200).select("id", F.lit(0).cast("long").alias("rep")).union(spark.range(2000, 2003).select("id", F.lit(2000).cast("long").alias("rep")))
+    pairs = spark.createDataFrame([(0, 2000, 0.9)], "ra long, rb long, similarity double")
+    out = expand_pairs(NearCopies(m, pairs))
+    n = 1200 * 1199 // 2 + 3 + 1200 * 3
+    assert out.count() == n == out.distinct().count() and out.filter("id_a >= id_b").count() == 0

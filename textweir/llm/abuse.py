@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,6 +52,14 @@ vete a la mierda, hijo de puta
 te voy a romper la cara
 stai zitto, pezzo di merda, vaffanculo
 cala a boca, seu idiota de merda
+sexe gratuit, filles nues en vidéo, films pornographiques
+geile frauen nackt im video, pornofilme kostenlos
+sexo gratis, mujeres desnudas en vídeo, películas pornográficas
+sesso gratis, donne nude in video
+sexo grátis, mulheres nuas em vídeo
+les gens comme eux sont des parasites, qu'on les mette dehors
+solche leute sind parasiten und gehören rausgeworfen
+esa gente son parásitos, hay que echarlos
 """.strip().split("\n")
 ORDINARY_EXAMPLES = """
 the committee discussed the budget for next year
@@ -71,13 +80,14 @@ el grupo compara las dos tablas
 
 _SIGNS = str.maketrans({"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "!": "i", "€": "e", "|": "l", "+": "t"})
 _MIXED = re.compile(r"(?<![a-zà-ÿ])[a-zà-ÿ]*[@$013457!+|€][a-zà-ÿ@$013457!+|€]*")
-_SPELT = re.compile(r"(?<!\w)(?:[a-zà-ÿ*@$][ .\-_]){2,}[a-zà-ÿ*@$](?!\w)")
+_SPELT = re.compile(r"(?<![\w*@$])[a-zà-ÿ*@$]([ .\-_])[a-zà-ÿ*@$013457](?:\1[a-zà-ÿ*@$013457])+(?![\w*@$])")
 _LONG = re.compile(r"([^\W\d_])\1{2,}")
 _NUMBER = re.compile(r"\d+")
 _SPACE = re.compile(r"\s{2,}|[^\S ]")
 LONGEST, STEP, RUN = 14, 7, 6
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _WORDS = re.compile(r"[^\W\d_]+")
+_TWO_LETTERS = re.compile(r"[^\W\d_].*?[^\W\d_]")
 _LABEL = re.compile(r"\s*(?:[^\W\d_]+: |[-*>]+ |\d+[.)] )")
 
 
@@ -93,7 +103,8 @@ def _letters(m: re.Match) -> str:
 def undisguised(text: str) -> str:
     """Lower case, without disguises: signs for letters, spelt-out words, stretched letters, invisible characters."""
     t = _INVISIBLE.sub("", text.lower())
-    t = _SPELT.sub(lambda m: re.sub(r"[ .\-_]", "", m.group()), t)
+    # A word is spelt out with one kind of separator; another one ends it.
+    t = _SPELT.sub(lambda m: m.group().replace(m.group(1), ""), t)
     t = _MIXED.sub(_letters, t)
     t = _LONG.sub(r"\1", t)
     return _NUMBER.sub("0", t)
@@ -101,42 +112,49 @@ def undisguised(text: str) -> str:
 
 @dataclass(frozen=True)
 class AbuseSpec:
-    #: Labelled texts used for fitting, chosen by a hash of their ids.
-    max_training_texts: int = 8000
+    #: Labelled texts used for fitting, abusive and others, chosen by a hash of their ids.
+    max_abusive: int = 4000
+    max_ordinary: int = 5000
     dictionary_bytes: int = 256 * 1024
-    level: int = 3
     turns: int = 3
     #: Log-odds from which a window of a text labelled as abusive is taken for a toxic one.
     pick_above: float = -1.0
     seed: int = 5
 
 
-def _compressor(dictionary: zstandard.ZstdCompressionDict, level: int):
-    c = zstandard.ZstdCompressor(level=level, dict_data=dictionary, write_checksum=False, write_content_size=False, write_dict_id=False)
-    return c.compress
+def _parameters() -> zstandard.ZstdCompressionParameters:
+    # Matches from four bytes on, so that single words tell in short windows.
+    return zstandard.ZstdCompressionParameters(
+        strategy=zstandard.STRATEGY_DFAST, min_match=4, window_log=19, hash_log=16, chain_log=16, write_checksum=False, write_content_size=False, write_dict_id=False
+    )
 
 
-def _dictionary(windows: list[str], size: int, level: int) -> zstandard.ZstdCompressionDict:
-    """The windows themselves, or their most useful segments by zstandard's training where they don't fit.
+def _compressor(content: bytes) -> Callable[[bytes], bytes]:
+    """Compression with a dictionary's content. Its entropy tables are left out: the two sides have very different amounts to learn them from."""
+    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=_parameters())
+    return zstandard.ZstdCompressor(dict_data=d, compression_params=_parameters()).compress
 
-    Both sides use plain content: a trained dictionary's entropy tables would favour
-    whichever side has one.
+
+def _trained(windows: list[str], size: int) -> bytes:
+    """The content of a dictionary trained on the windows, on both sides alike.
+
+    The trainer takes too little from few short samples, so each window goes in whole and by
+    its runs of words; what it picks has at most ``size`` bytes.
     """
-    parts = [w.encode() for w in windows if len(w) >= 8]
-    whole = b"\n".join(parts)
-    if len(whole) > size and len(parts) > 200:
-        whole = zstandard.train_dictionary(size, parts, level=level).as_bytes()
-    d = zstandard.ZstdCompressionDict(whole[-size:] or b"........", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    d.precompute_compress(level=level)
-    return d
+    samples = [w.encode() for w in windows]
+    for w in windows:
+        tokens = w.split(" ")
+        samples += [" ".join(tokens[i : i + RUN]).encode() for i in range(1, max(1, len(tokens) - RUN + 1))]
+    return zstandard.train_dictionary(size, samples, level=3).as_bytes()
 
 
 def windows_of(text: str) -> list[str]:
-    """The windows of a text: its units, and overlapping runs of ``LONGEST`` words where a unit is longer."""
+    """The windows of a text: its units, and overlapping runs of ``LONGEST`` words where a unit is longer; none of numbers and signs alone."""
     out = []
     for u in units(_NUMBER.sub("0", text.lower())):
         w = _SPACE.sub(" ", _LABEL.sub("", u, 1) if _LABEL.match(u) else u).strip()
-        if not w:
+        if not _TWO_LETTERS.search(w):
             continue
         if len(w) < 6 * LONGEST:
             out.append(w)
@@ -151,13 +169,14 @@ def windows_of(text: str) -> list[str]:
 
 def _lengths(windows: list[str], toxic, ordinary) -> np.ndarray:
     """Bytes of each window: plain, with the toxic and with the ordinary dictionary, the frame's fixed bytes taken off."""
-    raw = [w.encode() for w in windows]
+    at = {w: i for i, w in enumerate(dict.fromkeys(windows))}  # equal ones are compressed once
+    raw = [w.encode() for w in at]
     out = np.empty((len(raw), 3))
     out[:, 0] = [len(r) for r in raw]
     out[:, 1] = [len(toxic(r)) for r in raw]
     out[:, 2] = [len(ordinary(r)) for r in raw]
     out[:, 1:] = np.maximum(out[:, 1:] - 6, 1)
-    return out
+    return out[[at[w] for w in windows]]
 
 
 def _bare(windows: list[str], toxic, ordinary) -> tuple[list[str], np.ndarray]:
@@ -205,16 +224,13 @@ class AbuseModel:
     ordinary: bytes
     weights: np.ndarray
     threshold: float
-    level: int
 
     def _tools(self):
         # The model is held with its tools, so that another one at the same place in memory isn't taken for it.
         if _TOOLS.get("model") is not self:
             made = []
             for data in (self.toxic, self.ordinary):
-                d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=self.level)
-                made.append(_compressor(d, self.level))
+                made.append(_compressor(data))
             _TOOLS.update(model=self, made=made)
         return _TOOLS["made"]
 
@@ -249,14 +265,14 @@ def fit_abuse(rows: list[tuple[str, bool]], spec: AbuseSpec = AbuseSpec()) -> Ab
     positive = [w for w, y in texts if y]
     rng = np.random.default_rng(spec.seed)
     side_n, side_p = rng.integers(0, 2, len(negative)), rng.integers(0, 2, len(positive))
-    size, level = spec.dictionary_bytes, spec.level
+    size = spec.dictionary_bytes
 
     def plain(side: int | None) -> list[str]:
         own = [w for s, ws in zip(side_n, negative) if side is None or s == side for w in ws]
         return list(dict.fromkeys(own)) + ORDINARY_EXAMPLES
 
-    ordinary = [_compressor(_dictionary(plain(s), size, level), level) for s in (0, 1)]
-    toxic_now = [_compressor(_dictionary(TOXIC_EXAMPLES, size, level), level)] * 2
+    ordinary = [_compressor(_trained(plain(s), size)) for s in (0, 1)]
+    toxic_now = [_compressor(_trained(TOXIC_EXAMPLES, size))] * 2
     weights = np.zeros(0)
     unusual = _unusual([[undisguised(w) for w in ws] for ws in positive], negative)
 
@@ -275,7 +291,7 @@ def fit_abuse(rows: list[tuple[str, bool]], spec: AbuseSpec = AbuseSpec()) -> Ab
             f, bare = judged(ws, 1 - s)
             picked.append([w for w, z in zip(bare, f @ weights[:-1] + weights[-1]) if z > spec.pick_above])
         toxic_now = [
-            _compressor(_dictionary(TOXIC_EXAMPLES + list(dict.fromkeys(w for s, ws in zip(side_p, picked) if s == side for w in ws)), size, level), level)
+            _compressor(_trained(TOXIC_EXAMPLES + list(dict.fromkeys(w for s, ws in zip(side_p, picked) if s == side for w in ws)), size))
             for side in (0, 1)
         ]
         x, y = [], []
@@ -290,7 +306,7 @@ def fit_abuse(rows: list[tuple[str, bool]], spec: AbuseSpec = AbuseSpec()) -> Ab
                 y.append(np.ones(len(x[-1])))
         for windows, value in ((TOXIC_EXAMPLES, 1), (ORDINARY_EXAMPLES, 0)):
             half = len(windows) // 2
-            other = _compressor(_dictionary(windows[:half], size, level), level)
+            other = _compressor(_trained(windows[:half], size))
             pair = (other, ordinary[0]) if value else (toxic_now[0], ordinary[0])
             x.append(_features(windows[half:], _lengths(windows[half:], *pair), *pair))
             y.append(np.full(len(windows) - half, value))
@@ -304,8 +320,7 @@ def fit_abuse(rows: list[tuple[str, bool]], spec: AbuseSpec = AbuseSpec()) -> Ab
             z_all.append((float((f @ weights[:-1] + weights[-1]).max()), label))
     threshold = _best_cut(z_all)
     final_t, final_o = TOXIC_EXAMPLES + list(dict.fromkeys(w for ws in picked for w in ws)), plain(None)
-    dt, do = _dictionary(final_t, size, level), _dictionary(final_o, size, level)
-    return AbuseModel(dt.as_bytes(), do.as_bytes(), weights, float(1 / (1 + np.exp(-threshold))), level)
+    return AbuseModel(_trained(final_t, size), _trained(final_o, size), weights, float(1 / (1 + np.exp(-threshold))))
 
 
 def _unusual(positive: list[list[str]], negative: list[list[str]]) -> list[list[str]]:
@@ -336,6 +351,6 @@ def _best_cut(pairs: list[tuple[float, int]]) -> float:
         hits += y
         f1.append(2 * hits / (i + 1 + total))
         cuts.append((z + (ordered[i + 1][0] if i + 1 < len(ordered) else z - 1)) / 2)
-    # Of cuts that are as good within the labels' noise, the strictest.
-    # Few labels say little about the tail, so the cut stays near even odds.
-    return float(np.clip(next(c for c, f in zip(cuts, f1) if f >= max(f1) - 0.005), -1.5, 1.5))
+    # Of the cuts that are as good within the labels' noise, the middle one. Few labels say little about the tail, so it stays near even odds.
+    good = [c for c, f in zip(cuts, f1) if f >= max(f1) - 0.005]
+    return float(np.clip(good[len(good) // 2], -1.5, 1.5))

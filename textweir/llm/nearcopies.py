@@ -65,15 +65,17 @@ class NearCopySpec:
         return math.ceil(bits * differ + 3.8 * math.sqrt(bits * differ * (1 - differ)))
 
     def bands_and_rows(self) -> tuple[int, int]:
-        """The most selective banding (most rows a band) that still reaches the recall."""
+        """The most selective banding (most rows a band) that still reaches the recall; an error where ``max_bands`` are too few for it."""
         s = self.safe_similarity or self.threshold
-        best = (1, 1)
+        best = None
         for rows in range(1, 40):
             hit = s**rows
             bands = 1 if hit >= self.target_recall else math.ceil(math.log(1 - self.target_recall) / math.log(1 - hit))
             if bands > self.max_bands:
                 break
             best = (bands, rows)
+        if best is None:
+            raise ValueError(f"{self.max_bands} bands can't reach a recall of {self.target_recall} at a similarity of {s}")
         return best
 
 
@@ -235,7 +237,7 @@ def _prefix_pairs(docs: DataFrame, spec: NearCopySpec) -> DataFrame:
     """All candidate pairs among ``docs`` (rep, text) by the prefix principle; exact, no banding.
 
     Two sets with Jaccard similarity t share one of the ``n - ceil(t n) + 1`` rarest
-    members of either. Common boilerplate is never rare, so it joins nothing.
+    members of either. Boilerplate is the commonest part of a set and so outside its prefix, unless it makes up more than about ``t`` of it.
     """
     t = spec.threshold
     members = docs.mapInArrow(_shingle_rows(spec), "rep long, n long, s long")
@@ -278,7 +280,7 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, spec: NearCopySpec =
     members = kept.filter("record is not null").select("fp", *one)
     reps = members.groupBy("fp", "fp2").agg(F.min("id").alias("rep"), F.min("sketch_a").alias("sketch_a"), F.min("sketch_b").alias("sketch_b"))
     members = cut(members.select("id", "fp", "fp2").join(reps.select("fp", "fp2", "rep"), ["fp", "fp2"]).select("id", "rep"))
-    # A class may be in a bucket once for each task that met it, so ``n`` is an upper bound.
+    # A class may be in a bucket once for each task that met it, so ``n`` is an upper bound; the wide way is exact too.
     shared = kept.filter("record is null").select("key", "fp", "n")
     narrow = shared.filter(F.col("n") <= spec.bucket_limit)
     a, b = narrow.alias("a"), narrow.alias("b")
@@ -322,16 +324,23 @@ def _verified(docs: DataFrame, candidates: DataFrame, spec: NearCopySpec) -> Dat
     )
 
 
-def expand_pairs(found: NearCopies) -> DataFrame:
-    """(id_a, id_b), smaller first: linked records, copies within a class included."""
+def expand_pairs(found: NearCopies, blocks: int = 32) -> DataFrame:
+    """(id_a, id_b), smaller first: linked records, copies within a class included.
+
+    Its rows grow with the square of a class; ``near_copy_classes`` says the same in a row a record and is the form for
+    large collections. A large class's pairs are made in ``blocks`` tasks: its first members are dealt out by a hash, the second ones go to each.
+    """
     m = found.members
+    crowded = m.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("rep", F.when(F.col("n") > 1000, blocks).otherwise(1).alias("b"))
+    dealt = m.join(crowded, "rep")
     across = (
         found.pairs.join(m.select(F.col("rep").alias("ra"), F.col("id").alias("ia")), "ra")
         .join(m.select(F.col("rep").alias("rb"), F.col("id").alias("ib")), "rb")
         .select("ia", "ib")
     )
-    x, y = m.alias("x"), m.alias("y")
-    within = x.join(y, (F.col("x.rep") == F.col("y.rep")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("ia"), F.col("y.id").alias("ib"))
+    x = dealt.select("rep", F.col("id").alias("ia"), F.pmod(F.xxhash64("id"), F.col("b")).cast("int").alias("block"))
+    y = dealt.select("rep", F.col("id").alias("ib"), F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("block"))
+    within = x.join(y, ["rep", "block"]).filter("ia < ib").select("ia", "ib")
     return across.union(within).select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
 
 

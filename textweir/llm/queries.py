@@ -51,7 +51,7 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def subject_model(spark: SparkSession, sf_dir: str) -> subjects.SubjectModel:
     texts, labels = table(spark, sf_dir, RECORDS), table(spark, sf_dir, LABELS)
     rows = training_rows(texts, labels, "subject", SUBJECTS.max_training_texts)
-    junk = [t for t, answers in training_rows(texts, labels, "text_kind", MOST_KIND_LABELS, answers=["junk"]) if answers == ["junk"]]
+    junk = [t for t, _ in training_rows(texts, labels, "text_kind", SUBJECTS.max_junk_texts, unanimous="junk")]
     # The table of subjects has a handful of rows at every scale.
     about = [(r["subject"], r["about"]) for r in table(spark, sf_dir, "subject_areas").collect()]
     return subjects.fit_subjects(rows, about, junk, SUBJECTS)
@@ -86,8 +86,9 @@ def p2_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def abuse_model(spark: SparkSession, sf_dir: str) -> abuse.AbuseModel:
-    rows = training_rows(table(spark, sf_dir, RECORDS), table(spark, sf_dir, LABELS), "abuse", ABUSE.max_training_texts)
-    return abuse.fit_abuse([(t, answers[0] == "yes") for t, answers in rows if len(set(answers)) == 1 and answers[0] in ("yes", "no")], ABUSE)
+    texts, labels = table(spark, sf_dir, RECORDS), table(spark, sf_dir, LABELS)
+    both = [(a, training_rows(texts, labels, "abuse", most, unanimous=a)) for a, most in (("yes", ABUSE.max_abusive), ("no", ABUSE.max_ordinary))]
+    return abuse.fit_abuse([(t, a == "yes") for a, rows in both for t, _ in rows], ABUSE)
 
 
 def _abuse_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:

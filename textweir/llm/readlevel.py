@@ -47,12 +47,15 @@ class LevelSpec:
 
 
 def sentence_words(text: str) -> list[list[str]]:
-    """Lower-cased words of each unit of two words and more; short units join the next one."""
-    out = []
+    """Lower-cased words of each unit of two words and more; shorter units join the next one, at the end the one before."""
+    out, short = [], []
     for u in units(text.lower()):
-        w = _WORD.findall(u)
-        if len(w) >= 2:
-            out.append(w)
+        short += _WORD.findall(u)
+        if len(short) >= 2:
+            out.append(short)
+            short = []
+    if short and out:
+        out[-1] = out[-1] + short
     return out
 
 

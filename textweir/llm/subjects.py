@@ -44,6 +44,7 @@ class SubjectSpec:
     unit_share: float = 0.25
     #: Labelled texts used for fitting, chosen by a hash of their ids.
     max_training_texts: int = 4000
+    max_junk_texts: int = 2000
     seed: int = 3
 
 
