@@ -1,13 +1,15 @@
 """Reservoir and packing: exact sizes, uniformity, wholeness, edge rows."""
 
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textweir.llm import queries
 from textweir.llm.packing import PackSpec, best_fit, pack
-from textweir.llm.reservoir import ReservoirSpec, hypergeometric, reservoir, split_draw
+from textweir.llm.reservoir import Reservoir, ReservoirSpec, hypergeometric, log_probability, reservoir, split_draw
 
 
 @pytest.mark.parametrize("good,bad,draws", [(5, 7, 4), (300, 20, 50), (1, 99, 10), (40, 40, 80), (0, 5, 3), (5, 0, 3)])
@@ -33,11 +35,36 @@ def test_split_draw_adds_up():
         assert sum(out) == 8 and all(a <= b for a, b in zip(out, [3, 0, 5, 9]))
 
 
-def test_sample_is_uniform_over_pieces(spark):
+@pytest.mark.parametrize("good,bad,draws", [(10**9, 10**10, 300), (10**13, 10**14, 2000), (10**14, 10**15, 2000), (10**15, 3, 50), (7, 10**15, 10**9), (30, 40, 35), (3, 10**6, 10**6)])
+def test_probabilities_add_up(good, bad, draws):
+    mass = [math.exp(log_probability(k, good, bad, draws)) for k in range(max(0, draws - bad), min(draws, good) + 1)]
+    assert abs(sum(mass) - 1) < 1e-9
+    mean = sum(m * k for k, m in zip(range(max(0, draws - bad), len(mass) + draws), mass))
+    assert abs(mean - draws * good / (good + bad)) < 1e-6 * (mean + 1e-3)
+
+
+def pieced(spark, sizes):
+    edges = [int(x) for x in np.cumsum([0, *sizes])]
+    out = spark.range(0).select("id", F.lit(0).alias("no"))
+    for n, (a, b) in enumerate(zip(edges, edges[1:])):
+        out = out.union(spark.range(a, b).select("id", F.lit(n).alias("no")))
+    return out, edges
+
+
+def by_turns(spark, df, spec, path):
+    r = Reservoir(spark, str(path), spec, merge_every=2)
+    for n in sorted(x["no"] for x in df.select("no").distinct().collect()):
+        r.add(df.filter(F.col("no") == n), "id")
+    return r.rows()
+
+
+@pytest.mark.parametrize("stream", [False, True])
+def test_sample_is_uniform_over_pieces(spark, tmp_path, stream):
     sizes = [200, 3000, 50, 1500, 5000, 250]
-    edges = np.cumsum([0, *sizes])
-    pieces = [spark.range(int(a), int(b)) for a, b in zip(edges, edges[1:])]
-    ids = sorted(r["id"] for r in reservoir(pieces, "id", ReservoirSpec(size=1000, seed=4)).collect())
+    df, edges = pieced(spark, sizes)
+    spec = ReservoirSpec(size=1000, seed=4)
+    out = by_turns(spark, df, spec, tmp_path).withColumnRenamed("key", "id") if stream else reservoir(df, "id", "no", spec)
+    ids = sorted(r["id"] for r in out.collect())
     assert len(ids) == len(set(ids)) == 1000
     got = np.histogram(ids, bins=edges)[0]
     want = np.array(sizes) / edges[-1] * 1000
@@ -45,25 +72,37 @@ def test_sample_is_uniform_over_pieces(spark):
     assert abs(np.mean(ids) - edges[-1] / 2) < 4 * edges[-1] / np.sqrt(12 * 1000)
 
 
-def test_resent_records_count_once(spark):
-    piece = spark.createDataFrame([(1,), (1,), (2,), (None,), (3,)], "id long").withColumn("key", F.lit("clash")).withColumn("slot", F.lit(9))
-    pieces = [piece, piece.limit(0), piece, spark.createDataFrame([(3,), (4,)], "id long")]
-    assert sorted(r["id"] for r in reservoir(pieces, "id", ReservoirSpec(size=10)).collect()) == [1, 2, 3, 4]
-    assert reservoir(pieces, "id", ReservoirSpec(size=2)).count() == 2
-    assert reservoir([], "id") is None
-    assert reservoir([piece.limit(0)], "id").count() == 0
+def test_resent_records_count_once(spark, tmp_path):
+    rows = [(1, 0), (1, 0), (2, 0), (None, 0), (3, 0), (1, 2), (3, 2), (3, 3), (4, 3), (5, None), (4, None)]
+    df = spark.createDataFrame(rows, "id long, no int").withColumn("key", F.lit("clash")).withColumn("slot", F.lit(9)).withColumn("piece", F.lit(1)).withColumn("turn", F.lit(1))
+    assert sorted(r["id"] for r in reservoir(df, "id", "no", ReservoirSpec(size=10)).collect()) == [1, 2, 3, 4, 5]
+    assert reservoir(df, "id", "no", ReservoirSpec(size=2)).count() == 2
+    assert reservoir(df.limit(0), "id", "no").count() == 0
+    r = Reservoir(spark, str(tmp_path), ReservoirSpec(size=10))
+    assert r.rows() is None
+    for part in (df.filter("no = 0"), df.limit(0), df.filter("no = 2"), df.filter("no = 3")):
+        r.add(part, "id")
+    assert sorted(x["key"] for x in r.rows().collect()) == [1, 2, 3, 4]
 
 
 def test_every_record_equally_likely(spark):
     seen = Counter()
+    df, _ = pieced(spark, [4, 2, 6])
+    df = df.cache()
     for seed in range(30):
-        pieces = [spark.range(0, 4), spark.range(4, 6), spark.range(6, 12)]
-        seen.update(r["id"] for r in reservoir(pieces, "id", ReservoirSpec(size=3, slots=2, seed=seed)).collect())
+        seen.update(r["id"] for r in reservoir(df, "id", "no", ReservoirSpec(size=3, least_slots=2, seed=seed)).collect())
     assert sum(seen.values()) == 90
     first, last = sum(seen[i] for i in range(6)), sum(seen[i] for i in range(6, 12))
     assert abs(first - last) < 40
 
 
+def test_registered_sample(spark):
+    sf = "/root/testdata/sf0.01"
+    ids = [r["sample_id"] for r in queries.p6_sample(spark, sf).collect()]
+    known = {r["sample_id"] for r in spark.read.parquet(f"{sf}/climblab_sample.parquet").select("sample_id").collect()}
+    assert len(ids) == len(set(ids)) == queries.RESERVOIR.size and set(ids) <= known
+
+
 def test_best_fit_keeps_capacity():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 100, 3000)

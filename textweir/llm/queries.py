@@ -193,16 +193,12 @@ def p5_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- 6: fixed-size sample
 
 
-def _pieces(df: DataFrame) -> list[DataFrame]:
-    """The pieces in the order of their numbers; rows without a number come last."""
-    numbers = sorted(r[0] for r in df.select("piece_no").distinct().collect() if r[0] is not None)
-    return [*(df.filter(F.col("piece_no") == n) for n in numbers), df.filter(F.col("piece_no").isNull())]
-
-
 def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A uniform sample of the records with the cluster and number of tokens of their first arrival."""
     rows = table(spark, sf_dir, "climblab_sample")
-    sample = reservoir.reservoir(_pieces(rows.select("sample_id", "piece_no")), "sample_id", RESERVOIR)
+    sample = reservoir.reservoir(rows, "sample_id", "piece_no", RESERVOIR)
+    # Its size is fixed.
+    sample = F.broadcast(sample) if RESERVOIR.size <= 100_000 else sample
     first = F.struct(F.coalesce("piece_no", F.lit(2**31 - 1)), "arrived_at", F.coalesce("cluster_id", F.lit("unknown")).alias("cluster_id"), F.coalesce(F.size("tokens"), F.lit(0)).alias("n_tokens"))
     return (
         rows.select("sample_id", first.alias("row"))
@@ -275,5 +271,9 @@ CLASSES_SQL = f"""WITH {PAIRS_SQL}, k AS (SELECT record_id, array_to_string(w, '
   SELECT record_id, class_id, class_size, coalesce(linked_classes, 0)::BIGINT AS linked_classes, coalesce(linked_records, 0)::BIGINT AS linked_records FROM m LEFT JOIN l ON x = record_id"""
 
 
+#: Whatever the ids are, they must give back the text.
+DECODED_SQL = "SELECT doc_id, length(coalesce(text, '')) AS n_chars, true AS exact FROM documents"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": f"WITH {PAIRS_SQL} SELECT * FROM p", "p1_classes": CLASSES_SQL}
+    return {"p1_found": f"WITH {PAIRS_SQL} SELECT * FROM p", "p1_classes": CLASSES_SQL, "p7_decoded": DECODED_SQL}
