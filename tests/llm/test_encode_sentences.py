@@ -1,9 +1,11 @@
 """Encoding against the tokenizer itself, round trips, and sentence rules."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from textweir.llm.encode import EncodeSpec, decode, encode, word_table
+from textweir.llm.encode import EncodeSpec, _doubtful, _own_words, decode, encode, encode_word, split_words, token_counts, word_table
 from textweir.llm.sentences import sentences
 from textweir.llm.tokenizers import load
 
@@ -23,6 +25,22 @@ def test_ids_are_the_tokenizers_own(spark, share):
     want = [(i, tok.encode(t, add_special_tokens=False).ids if t else []) for i, t in rows]
     assert sorted(out, key=repr) == sorted(want, key=repr)
     assert encode(df.limit(0), "id", "text", spec).count() == 0
+    counts = sorted(((r["id"], r["n_tokens"]) for r in token_counts(df, "id", "text", spec).collect()), key=repr)
+    assert counts == sorted(((i, len(x)) for i, x in want), key=repr)
+    assert token_counts(df.limit(0), "id", "text", spec).count() == 0
+
+
+def test_words_are_the_tokenizers_own():
+    path = EncodeSpec().path
+    rng = random.Random(5)
+    pools = ["abc 12.,'\n", "éßñ'sltre ", "漢字かなไทย ١٢٣", "\u0300\u200d\ufeff\u00a0 x1", "".join(map(chr, range(0x20, 0x3000)))]
+    texts = ["".join(rng.choices(rng.choice(pools), k=rng.randrange(1, 60))) for _ in range(3000)]
+    texts += ["".join(chr(c) for c in [rng.randrange(0x30000) for _ in range(30)] if not 0xD800 <= c < 0xE000) for _ in range(500)]
+    for t in texts:
+        assert split_words(path, t) == _own_words(path, t) and "".join(split_words(path, t)) == t
+    tok = load(path)
+    assert all([i for w in split_words(path, t) for i in encode_word(path, w)] == tok.encode(t, add_special_tokens=False).ids for t in texts[:800])
+    assert _doubtful(path).search("\U00020000") and not _doubtful(path).search("plain é 漢 😀")
 
 
 def test_round_trip_and_single_encoding(spark):

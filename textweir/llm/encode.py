@@ -13,22 +13,26 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textweir.llm.tokenizers import load, tokenizer_path
 from textweir.session import cut, spread
 
-#: One row for each text: ``sizes`` has a byte for each word, the number of its ids where it is filled in and 0 where it
+#: One row for each text: ``sizes`` has two bytes for each word, the number of its ids where it is filled in and ``_JOINED`` where it
 #: is joined; ``filled`` has those ids as 32-bit integers. One row for each other word of a text: the word and its places.
 _SPLIT = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("sizes", pa.binary()), ("filled", pa.binary()), ("word", pa.string()), ("pos", pa.list_(pa.int32()))])
 _SPLIT_DDL = "k1 long, k2 long, sizes binary, filled binary, word string, pos array<int>"
-_MOST_FILLED = 250
+_JOINED = 65535
 
 
 @dataclass(frozen=True)
@@ -43,15 +47,54 @@ class EncodeSpec:
         return tokenizer_path(self.tokenizer, self.folder)
 
 
+# The pattern of byte-level pre-tokenizers.
+_BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Scripts whose letters no version of Unicode has changed, by first and last character; they need no comparison.
+_SETTLED = ((0x3400, 0x4DBF), (0x4E00, 0x9FD0), (0xAC00, 0xD7A3), (0xD800, 0xF8FF))
+
+
+def _own_words(path: str, text: str) -> list[str]:
+    """The words by the tokenizer's own pre-tokenizer: parts of the text for byte-level ones, else in its alphabet."""
+    found = load(path).pre_tokenizer.pre_tokenize_str(text)
+    return [text[a:b] for _, (a, b) in found] if _byte_level(path) else [w for w, _ in found]
+
+
+@lru_cache(4)
+def _byte_level(path: str) -> bool:
+    """Whether words are cut by ``_BYTE_LEVEL`` from the unchanged text."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    own = made.get("pre_tokenizer") or {}
+    return made.get("normalizer") is None and own.get("type") == "ByteLevel" and own.get("use_regex", True) and not own.get("add_prefix_space", True)
+
+
+@lru_cache(4)
+def _doubtful(path: str) -> regex.Pattern:
+    """Characters that the tokenizer's Unicode version may class otherwise than ours: found by comparing both, and all beyond U+1FFFF."""
+
+    def same(chars: list[str]) -> bool:
+        # Each beside a letter, a digit, a sign and a space, so that any difference of class moves an edge.
+        probe = "".join(f"x{c}x1{c}1!{c}! {c} {c}\n" for c in chars)
+        return _own_words(path, probe) == _BYTE_LEVEL.findall(probe)
+
+    points = [c for c in range(0x20000) if not any(a <= c <= b for a, b in _SETTLED)]
+    odd = [c for i in range(0, len(points), 128) if not same(block := [chr(p) for p in points[i : i + 128]]) for c in block if not same([c])]
+    return regex.compile("[" + "".join(map(regex.escape, odd)) + "\U00020000-\U0010ffff]")
+
+
 def split_words(path: str, text: str) -> list[str]:
-    """The tokenizer's words of a text, in its own alphabet of bytes."""
+    """The tokenizer's words of a text: parts of it for byte-level tokenizers, else in the tokenizer's own alphabet."""
+    if not text:
+        return []
+    if _byte_level(path):
+        return _own_words(path, text) if _doubtful(path).search(text) else _BYTE_LEVEL.findall(text)
     tok = load(path)
-    if tok.normalizer is not None:
-        text = tok.normalizer.normalize_str(text)
-    return [w for w, _ in tok.pre_tokenizer.pre_tokenize_str(text)] if text else []
+    return _own_words(path, tok.normalizer.normalize_str(text) if tok.normalizer is not None else text)
 
 
 def encode_word(path: str, word: str) -> list[int]:
+    if _byte_level(path):
+        word = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_SHOWN)
     return [t.id for t in load(path).model.tokenize(word)]
 
 
@@ -90,7 +133,7 @@ def _split(path: str, hot: dict[str, list[int]]):
                 for a, b, text in zip(*(part.column(c).to_pylist() for c in range(3))):
                     words = split_words(path, text) if text else []
                     places: dict[str, list[int]] = {}
-                    counts, ids = bytearray(len(words)), []
+                    counts, ids = np.full(len(words), _JOINED, dtype=np.uint16), []
                     for i, w in enumerate(words):
                         known = hot.get(w)
                         if known is None:
@@ -101,7 +144,7 @@ def _split(path: str, hot: dict[str, list[int]]):
                     # One row for every text, so that none is lost, whatever its words.
                     k1 += [a] * (len(places) + 1)
                     k2 += [b] * (len(places) + 1)
-                    sizes.append(bytes(counts))
+                    sizes.append(counts.tobytes())
                     sizes += [None] * len(places)
                     filled.append(np.array(ids, dtype=np.int32).tobytes())
                     filled += [None] * len(places)
@@ -127,10 +170,10 @@ def place(sizes: list[bytes], filled: list[bytes], words_of: np.ndarray, pos: np
     ``words_of`` counts each text's joined words; ``pos_of`` and ``ids_of`` count each such word's places and ids in
     ``pos`` and ``ids``.
     """
-    n = np.frombuffer(b"".join(sizes), dtype=np.uint8).astype(np.int64)
-    words_in = np.array([len(x) for x in sizes], dtype=np.int64)
+    n = np.frombuffer(b"".join(sizes), dtype=np.uint16).astype(np.int64)
+    words_in = np.array([len(x) // 2 for x in sizes], dtype=np.int64)
     base = np.cumsum(words_in) - words_in
-    known = n > 0
+    known = n < _JOINED
     word = np.repeat(np.arange(len(pos_of)), pos_of)  # the joined word at each place
     at = np.repeat(np.repeat(base, words_of), pos_of) + pos
     n[at] = ids_of[word]
@@ -171,6 +214,22 @@ def _keys(*columns: str) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *parts).alias(f"k{seed}") for seed in (1, 2)]
 
 
+def _common(table: DataFrame, spec: EncodeSpec) -> dict[str, list[int]]:
+    """The words of a word table that are in a large share of all rows, with their ids; bounded: fewer than 1 / hot_share can have that share."""
+    total = table.agg(F.sum("texts")).first()[0] or 0
+    hot = table.filter((F.col("texts") > max(spec.hot_share * total, 1)) & (F.size("ids") < _JOINED)).collect()
+    return {r["word"]: list(r["ids"]) for r in hot}
+
+
+def _with_ids(rows: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """Rows of (k1, k2, word, ...) with their words' columns from the table; a text's own row has a null word.
+
+    Texts' own rows go along under keys of their own, spread by text, that no word equals; so one pass gives both kinds.
+    """
+    key = F.coalesce("word", F.concat(F.lit("\0"), F.col("k1").cast("string")))
+    return rows.withColumn("word", key).join(table.select("word", *columns), "word", "left")
+
+
 def encode(df: DataFrame, id_col: str, text_col: str, spec: EncodeSpec = EncodeSpec()) -> DataFrame:
     """(id, ids) of every row, without special tokens.
 
@@ -179,21 +238,51 @@ def encode(df: DataFrame, id_col: str, text_col: str, spec: EncodeSpec = EncodeS
     """
     docs = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))).select(*_keys("_id", "_text"), "_id", "_text")
     table = cut(word_table(docs, "_text", spec))
-    total = table.agg(F.sum("texts")).first()[0] or 0
-    # Bounded: fewer than 1 / hot_share words can each have that share of all rows.
-    hot = {r["word"]: list(r["ids"]) for r in table.filter(F.col("texts") > max(spec.hot_share * total, 1)).collect()}
-    hot = {w: ids for w, ids in hot.items() if 0 < len(ids) <= _MOST_FILLED}
-    rows = docs.select("k1", "k2", "_text").mapInArrow(_split(spec.path, hot), _SPLIT_DDL)
-    # Texts' own rows go along under keys of their own, spread by text, that no word equals; so one pass gives both kinds.
-    key = F.coalesce("word", F.concat(F.lit("\0"), F.col("k1").cast("string")))
-    met = rows.withColumn("word", key).join(table.select("word", "ids"), "word", "left")
+    rows = docs.select("k1", "k2", "_text").mapInArrow(_split(spec.path, _common(table, spec)), _SPLIT_DDL)
     # Equal rows meet in one group; their words are then placed more than once, to the same end.
     joined = F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))).alias("joined")
-    every = met.groupBy("k1", "k2").agg(F.max("sizes").alias("sizes"), F.max("filled").alias("filled"), joined)
+    every = _with_ids(rows, table, "ids").groupBy("k1", "k2").agg(F.max("sizes").alias("sizes"), F.max("filled").alias("filled"), joined)
     placed = every.select("k1", "k2", "sizes", "filled", "joined").mapInArrow(_placed, "k1 long, k2 long, ids array<int>")
     return docs.select("k1", "k2", "_id").join(placed, ["k1", "k2"]).select(F.col("_id").alias(id_col), "ids")
 
 
+def _counted(path: str, hot: dict[str, int]):
+    """(k1, k2, text) -> a row with the number of ids of the common words, and a row (word, times) for each other word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                part = whole.slice(at, 256)
+                k1, k2, word, times = [], [], [], []
+                for a, b, text in zip(*(part.column(c).to_pylist() for c in range(3))):
+                    words, known = Counter(split_words(path, text) if text else ()), 0
+                    rest = {}
+                    for w, n in words.items():
+                        if w in hot:
+                            known += n * hot[w]
+                        else:
+                            rest[w] = n
+                    k1 += [a] * (len(rest) + 1)
+                    k2 += [b] * (len(rest) + 1)
+                    word += [None, *rest]
+                    times += [known, *rest.values()]
+                yield pa.record_batch([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(word, pa.string()), pa.array(times, pa.int64())], names=["k1", "k2", "word", "times"])
+
+    return run
+
+
+def token_counts(df: DataFrame, id_col: str, text_col: str, spec: EncodeSpec = EncodeSpec()) -> DataFrame:
+    """(id, n_tokens) of every row: the length of its list of ``encode``, without making the lists."""
+    docs = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))).select(*_keys("_id", "_text"), "_id", "_text")
+    table = cut(word_table(docs, "_text", spec)).withColumn("n", F.size("ids"))
+    common = {w: len(ids) for w, ids in _common(table, spec).items()}
+    rows = docs.select("k1", "k2", "_text").mapInArrow(_counted(spec.path, common), "k1 long, k2 long, word string, times long")
+    # Equal rows meet in one group, so the sum is divided by their number.
+    met = _with_ids(rows, table, "n").groupBy("k1", "k2").agg(F.sum(F.col("times") * F.coalesce("n", F.lit(1))).alias("total"), F.count_if(F.col("n").isNull()).alias("rows"))
+    counts = met.select("k1", "k2", F.expr("total div rows").alias("n_tokens"))
+    return docs.select("k1", "k2", "_id").join(counts, ["k1", "k2"]).select(F.col("_id").alias(id_col), "n_tokens")
+
+
 def _byte_alphabet() -> dict[str, int]:
     """Byte-level tokenizers write each byte as a printable character: itself where it is one, else from 256 on."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -201,6 +290,10 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Bytes, as characters of the same number, to the alphabet.
+_SHOWN = {b: c for c, b in _byte_alphabet().items()}
+
+
 def decode(df: DataFrame, id_col: str, ids_col: str, spec: EncodeSpec = EncodeSpec()) -> DataFrame:
     """(id, text): ids back to text through a join with the tokenizer's pieces; byte-level tokenizers only."""
     alphabet = _byte_alphabet()

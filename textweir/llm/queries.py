@@ -229,7 +229,7 @@ def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each part of each document lies; sizes in tokens of byte_bpe_50k."""
-    sizes = p7_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("n_tokens"))
+    sizes = encode.token_counts(table(spark, sf_dir, DOCUMENTS), "doc_id", "text", ENCODING)
     return packing.pack(sizes, "doc_id", "n_tokens", CONTAINERS)
 
 
