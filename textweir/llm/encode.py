@@ -69,25 +69,40 @@ def _byte_level(path: str) -> bool:
 
 
 @lru_cache(4)
-def _doubtful(path: str) -> regex.Pattern:
-    """Characters that the tokenizer's Unicode version may class otherwise than ours: found by comparing both, and all beyond U+1FFFF."""
+def doubtful_characters(path: str) -> str:
+    """Characters up to U+1FFFF that the tokenizer's Unicode version classes otherwise than ours, found by comparing both. Made once, on the driver."""
 
     def same(chars: list[str]) -> bool:
-        # Each beside a letter, a digit, a sign and a space, so that any difference of class moves an edge.
-        probe = "".join(f"x{c}x1{c}1!{c}! {c} {c}\n" for c in chars)
+        # Beside a letter, a digit, a sign and a space, so that any difference of class moves an edge.
+        probe = "".join(f"x{c}1{c}!{c} {c}\n" for c in chars)
         return _own_words(path, probe) == _BYTE_LEVEL.findall(probe)
 
+    if not _byte_level(path):
+        return ""
     points = [c for c in range(0x20000) if not any(a <= c <= b for a, b in _SETTLED)]
-    odd = [c for i in range(0, len(points), 128) if not same(block := [chr(p) for p in points[i : i + 128]]) for c in block if not same([c])]
-    return regex.compile("[" + "".join(map(regex.escape, odd)) + "\U00020000-\U0010ffff]")
+    return "".join(chr(c) for i in range(0, len(points), 64) if not same(block := [chr(p) for p in points[i : i + 64]]) for c in points[i : i + 64] if not same([chr(c)]))
 
 
-def split_words(path: str, text: str) -> list[str]:
-    """The tokenizer's words of a text: parts of it for byte-level tokenizers, else in the tokenizer's own alphabet."""
+@lru_cache(4)
+def _as_set(odd: str) -> frozenset[str]:
+    return frozenset(odd)
+
+
+def in_doubt(text: str, odd: str) -> bool:
+    """Whether a text has one of the characters ``odd``, or one beyond U+1FFFF."""
+    return not text.isascii() and (not _as_set(odd).isdisjoint(text) or max(text) > "\U0001ffff")
+
+
+def split_words(path: str, text: str, odd: str | None = None) -> list[str]:
+    """The tokenizer's words of a text: parts of it for byte-level tokenizers, else in the tokenizer's own alphabet.
+
+    ``odd`` are the tokenizer's ``doubtful_characters``; a text with one of them, or one beyond U+1FFFF, is cut by the tokenizer itself.
+    """
     if not text:
         return []
     if _byte_level(path):
-        return _own_words(path, text) if _doubtful(path).search(text) else _BYTE_LEVEL.findall(text)
+        known = doubtful_characters(path) if odd is None else odd
+        return _own_words(path, text) if in_doubt(text, known) else _BYTE_LEVEL.findall(text)
     tok = load(path)
     return _own_words(path, tok.normalizer.normalize_str(text) if tok.normalizer is not None else text)
 
@@ -99,11 +114,13 @@ def encode_word(path: str, word: str) -> list[int]:
 
 
 def _distinct_words(path: str):
+    odd = doubtful_characters(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, texts = {}, 0
             for text in batch.column(0).to_pylist():
-                for w in set(split_words(path, text) if text else ()):
+                for w in set(split_words(path, text, odd) if text else ()):
                     words[w] = words.get(w, 0) + 1
                 texts += 1
                 if texts % 256 == 0 and words:
@@ -125,13 +142,15 @@ def _encode_words(path: str):
 
 
 def _split(path: str, hot: dict[str, list[int]]):
+    odd = doubtful_characters(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 part = whole.slice(at, 256)
                 k1, k2, sizes, filled, word, pos = [], [], [], [], [], []
                 for a, b, text in zip(*(part.column(c).to_pylist() for c in range(3))):
-                    words = split_words(path, text) if text else []
+                    words = split_words(path, text, odd) if text else []
                     places: dict[str, list[int]] = {}
                     counts, ids = np.full(len(words), _JOINED, dtype=np.uint16), []
                     for i, w in enumerate(words):
@@ -249,13 +268,15 @@ def encode(df: DataFrame, id_col: str, text_col: str, spec: EncodeSpec = EncodeS
 def _counted(path: str, hot: dict[str, int]):
     """(k1, k2, text) -> a row with the number of ids of the common words, and a row (word, times) for each other word."""
 
+    odd = doubtful_characters(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 part = whole.slice(at, 256)
                 k1, k2, word, times = [], [], [], []
                 for a, b, text in zip(*(part.column(c).to_pylist() for c in range(3))):
-                    words, known = Counter(split_words(path, text) if text else ()), 0
+                    words, known = Counter(split_words(path, text, odd) if text else ()), 0
                     rest = {}
                     for w, n in words.items():
                         if w in hot:
