@@ -114,7 +114,7 @@ def undisguised(text: str) -> str:
 class AbuseSpec:
     #: Labelled texts used for fitting, abusive and others, chosen by a hash of their ids.
     max_abusive: int = 4000
-    max_ordinary: int = 5000
+    max_ordinary: int = 8000
     dictionary_bytes: int = 256 * 1024
     turns: int = 3
     #: Log-odds from which a window of a text labelled as abusive is taken for a toxic one.
@@ -351,6 +351,5 @@ def _best_cut(pairs: list[tuple[float, int]]) -> float:
         hits += y
         f1.append(2 * hits / (i + 1 + total))
         cuts.append((z + (ordered[i + 1][0] if i + 1 < len(ordered) else z - 1)) / 2)
-    # Of the cuts that are as good within the labels' noise, the middle one. Few labels say little about the tail, so it stays near even odds.
-    good = [c for c, f in zip(cuts, f1) if f >= max(f1) - 0.005]
-    return float(np.clip(good[len(good) // 2], -1.5, 1.5))
+    # Of the cuts that are as good within the labels' noise, the strictest, but none beyond even odds.
+    return float(np.clip(next(c for c, f in zip(cuts, f1) if f >= max(f1) - 0.005), -1.5, 0.0))
