@@ -164,7 +164,7 @@ def test_categories(spark):
     got = rows.select(C.best_weighted(F.lower("t"), {"function_calling": ("execute",), "reasoning": ("because",), "roleplay": ("zzz",), "rag": ("yyy",)}).alias("b"), C.first_matching(F.lower("t")).alias("f")).collect()
     assert [r["b"] for r in got] == ["function_calling", "uncategorized", "uncategorized"]
     assert [r["f"] for r in got] == ["uncategorized", "reasoning", "uncategorized"]
-    assert C.quality_threshold("nowhere") == 0.4
+    assert C.domain("nowhere").quality == 0.4 and C.domain("children") == C.Domain(0.3, 0.9, 0.6)
 
 
 def test_soft_length_is_a_probability(spark):

@@ -181,6 +181,36 @@ def judge_prompt(response: Column, instruction: str, reference: str, criteria: s
     return F.concat(F.lit(head), F.coalesce(response, F.lit("")), F.lit(f"\n\nReference (score 5):\n{reference}\n\nCriteria:\n{criteria}\n{rubric}"))
 
 
+def retrieval_prompt(chunks: Column, query: Column) -> Column:
+    """A prompt from retrieved chunks, one a line, and a question."""
+    return F.concat(F.lit("Context:\n"), F.array_join(chunks, "\n"), F.lit("\n\nUser: "), F.coalesce(query, F.lit("")), F.lit("\nAssistant:"))
+
+
+def conversation_text(turns: Column) -> Column:
+    """The values of an array of turns (structs with ``value``), each followed by a space, stripped; turns without one are left out."""
+    return strip(F.array_join(F.filter(F.transform(turns, lambda x: x["value"]), lambda v: v.isNotNull()), " "))
+
+
+def sample_text(df: DataFrame, out: str = "text") -> DataFrame:
+    """The text of a sample by its columns: ``conversations``, else ``text``, else ``instruction`` and ``output``, else all strings."""
+    kinds = dict(df.dtypes)
+    if "conversations" in kinds:
+        value = conversation_text(F.col("conversations"))
+    elif "text" in kinds:
+        value = strip(F.col("text").cast("string"))
+    elif "instruction" in kinds and "output" in kinds:
+        value = strip(F.concat_ws(" ", "instruction", "output"))
+    else:
+        value = strip(F.concat_ws(" ", *[c for c, k in kinds.items() if k == "string"]))
+    return df.withColumn(out, F.coalesce(value, F.lit("")))
+
+
+def cluster_of(df: DataFrame, candidates: Sequence[str] = ("cluster", "cluster_id", "cluster_label", "group", "category")) -> Column:
+    """The first of the candidate columns that isn't null, as text; ``unknown`` where none is."""
+    held = [F.col(c).cast("string") for c in candidates if c in df.columns]
+    return F.coalesce(*held, F.lit("unknown"))
+
+
 def decode_ids(df: DataFrame, id_col: str, tokens_col: str, vocabulary: DataFrame, special: Sequence[int] = (), least: int = 0) -> DataFrame:
     """(id, text) of token lists through a vocabulary (token_id, piece), special ids skipped; texts of ``least`` characters and less are left out.
 

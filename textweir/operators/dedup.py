@@ -10,6 +10,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -168,7 +169,7 @@ def greedy_survivors(nodes: DataFrame, buckets: DataFrame, id_col: str = "id") -
     """
     crowded = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     open_rows = cut(buckets.join(crowded, "bucket", "left_semi"))
-    dropped = None
+    dropped: list[DataFrame] = []
     while not open_rows.isEmpty():
         lowest = open_rows.groupBy("bucket").agg(F.min("id").alias("low"))
         seen = open_rows.join(lowest, "bucket")
@@ -176,8 +177,8 @@ def greedy_survivors(nodes: DataFrame, buckets: DataFrame, id_col: str = "id") -
         kept = verdict.filter("keep").select("id")
         hit = open_rows.join(kept, "id", "left_semi").select("bucket").distinct()
         gone = cut(open_rows.join(hit, "bucket", "left_semi").select("id").distinct().join(kept, "id", "left_anti"))
-        dropped = gone if dropped is None else cut(dropped.union(gone))
+        dropped.append(gone)
         decided = kept.union(gone).distinct()
         open_rows = cut(open_rows.join(decided, "id", "left_anti").join(hit, "bucket", "left_anti"))
     every = nodes.select(F.col(id_col).alias("id"))
-    return (every if dropped is None else every.join(dropped, "id", "left_anti")).withColumnRenamed("id", id_col)
+    return (every.join(reduce(DataFrame.union, dropped), "id", "left_anti") if dropped else every).withColumnRenamed("id", id_col)

@@ -6,14 +6,18 @@ for them behind the same operators. Such scores are the stand-in's, not a networ
 
 from __future__ import annotations
 
+import random
+from collections.abc import Callable, Sequence
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textweir.functions import text as T
+from textweir.session import cut
 
 FLOOR = 1e-10
 
@@ -68,13 +72,48 @@ def clean_tokens(df: DataFrame, id_col: str, text_col: str, least: float = 0.1)
     return texts.join(rho, id_col).select(id_col, F.array_join(F.transform(kept, lambda z: z["ws"]), " ").alias("cleaned"))
 
 
-def fit_classifier(df: DataFrame, text_col: str, label_col: str, features: int = 1 << 14, seed: int = 42) -> PipelineModel:
-    """Hashed word counts and logistic regression on 0/1 labels; text null counts as empty."""
-    rows = df.select(T.words(F.lower(T.text_or_empty(text_col))).alias("ws"), F.col(label_col).cast("double").alias("label"))
+def fit_classifier(df: DataFrame, text_col: str, label_col: str, features: int = 1 << 14, most: int = 50_000) -> PipelineModel:
+    """Hashed word counts and logistic regression on labels 0, 1, ..; text null counts as empty.
+
+    Fitted on at most ``most`` labelled rows, chosen by a hash of the text, and these are held once, in few partitions, for all
+    iterations. Save the model with its ``save`` and load it with ``PipelineModel.load`` to fit once and apply often.
+    """
+    rows = df.filter(F.col(label_col).isNotNull()).select(T.text_or_empty(text_col).alias("t"), F.col(label_col).cast("double").alias("label"))
+    chosen = rows.orderBy(F.xxhash64("t"), "label").limit(most)
+    rows = cut(chosen.select(T.words(F.lower("t")).alias("ws"), "label").repartition(max(1, most // 10_000), "ws"))
     stages = [HashingTF(inputCol="ws", outputCol="features", numFeatures=features), LogisticRegression(maxIter=20, regParam=0.01)]
     return Pipeline(stages=stages).fit(rows)
 
 
+def classify_labels(model: PipelineModel, df: DataFrame, text_col: str, labels: Sequence[str]) -> DataFrame:
+    """Adds ``category``, the most probable of the labels that the model was fitted on, and ``confidence``, its probability."""
+    scored = model.transform(df.withColumn("ws", T.words(F.lower(T.text_or_empty(text_col)))))
+    p = vector_to_array("probability")
+    best = F.array_max(p)
+    named = F.element_at(F.array(*[F.lit(x) for x in labels]), F.array_position(p, best).cast("int"))
+    return scored.withColumn("category", named).withColumn("confidence", best).drop("ws", "features", "rawPrediction", "probability", "prediction")
+
+
+def best_of(df: DataFrame, score: str, low: float, high: float, first: int = 5, steps: int = 20, reward: Callable[[Column, Column], Column] | None = None, seed: int = 42) -> tuple[float, float]:
+    """(threshold, value) of the best threshold in a bounded range: ``first`` random ones, then ``steps`` around the best so far, ever closer.
+
+    ``reward`` makes the value from the scores and the threshold, an aggregate; by default the mean kept score times the share kept.
+    Each batch of thresholds is one pass over the scores.
+    """
+    rng = random.Random(seed)
+    value = reward or (lambda s, t: F.coalesce(F.avg(F.when(s >= t, s)), F.lit(0.0)) * F.count_if(s >= t) / F.greatest(F.count(s), F.lit(1)))
+
+    def tried(ts: list[float]) -> list[tuple[float, float]]:
+        row = df.agg(*[value(F.col(score), F.lit(t)).cast("double").alias(f"v{i}") for i, t in enumerate(ts)]).first()
+        return [(row[i] if row[i] is not None else float("-inf"), t) for i, t in enumerate(ts)]
+
+    best, reach = max(tried([rng.uniform(low, high) for _ in range(first)])), (high - low) / 4
+    for at in range(0, steps, 5):
+        near = [min(high, max(low, best[1] + rng.uniform(-reach, reach))) for _ in range(min(5, steps - at))]
+        best, reach = max([best, *tried(near)]), reach / 2
+    return best[1], best[0]
+
+
 def classify(model: PipelineModel, df: DataFrame, text_col: str) -> DataFrame:
     """Adds ``p1``, the probability of label 1."""
     scored = model.transform(df.withColumn("ws", T.words(F.lower(T.text_or_empty(text_col)))))

@@ -67,6 +67,21 @@ def group_stats(df: DataFrame, key: str, n: str) -> DataFrame:
     )
 
 
+def retention(df: DataFrame, n: str, shortest: int, longest: int) -> DataFrame:
+    """(total, valid, kept, retention): rows, those with a length over 0, those within the limits, and their percentage of all rows."""
+    kept = F.count_if(F.col(n).between(shortest, longest))
+    return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(n) > 0).alias("valid"), kept.alias("kept"), share(kept * 100, F.count(F.lit(1))).alias("retention"))
+
+
+def looked_up(df: DataFrame, key: str, wanted: Sequence[str]) -> DataFrame:
+    """(key, records, error) of the wanted groups; one that isn't there has an error instead of records."""
+    k = F.coalesce(F.col(key).cast("string"), F.lit("unknown"))
+    held = df.filter(k.isin(list(wanted))).groupBy(k.alias(key)).agg(F.count(F.lit(1)).alias("n"))
+    asked = df.sparkSession.createDataFrame([(w,) for w in wanted], f"{key} string")
+    missing = F.concat(F.lit("Cluster '"), F.col(key), F.lit("' not found"))
+    return asked.join(held, key, "left").select(key, F.coalesce("n", F.lit(0)).cast("long").alias("records"), F.when(F.col("n").isNull(), missing).alias("error"))
+
+
 def group_totals(df: DataFrame, key: str, n: str) -> DataFrame:
     k = F.coalesce(F.col(key).cast("string"), F.lit("unknown"))
     return df.agg(
@@ -205,15 +220,19 @@ def ranked_within(df: DataFrame, group: str, score: str, id_col: str) -> DataFra
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), id_col)).cast("long"))
 
 
-def running_totals(df: DataFrame, id_col: str, flag: str, every: int = 100) -> DataFrame:
+def running_totals(df: DataFrame, id_col: str, flag: str, every: int = 100, blocks_a_span: int = 100_000) -> DataFrame:
     """(block, seen, kept): totals up to the end of each block of ``every`` consecutive ids.
 
-    Blocks are aggregated first, so only one row a block is ordered. The window has no
-    partition, but its rows are fewer than the ids by the block's size.
+    Blocks are aggregated first and ordered within spans of ``blocks_a_span``; the spans' totals, fewer by that factor, are summed up
+    apart and joined back. So no task orders more than a span, or all spans.
     """
-    blocks = df.groupBy(F.floor(F.col(id_col) / every).cast("long").alias("block")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(flag)).alias("k"))
-    w = Window.partitionBy(F.lit(1)).orderBy("block")
-    return blocks.select("block", F.sum("n").over(w).cast("long").alias("seen"), F.sum("k").over(w).cast("long").alias("kept"))
+    block = F.floor(F.col(id_col) / every).cast("long")
+    blocks = df.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(flag)).alias("k")).withColumn("span", F.floor(F.col("block") / blocks_a_span))
+    before = Window.partitionBy(F.lit(1)).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = blocks.groupBy("span").agg(F.sum("n").alias("sn"), F.sum("k").alias("sk")).select("span", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("sn", "sk")])
+    w = Window.partitionBy("span").orderBy("block")
+    within = blocks.select("span", "block", F.sum("n").over(w).alias("n"), F.sum("k").over(w).alias("k"))
+    return within.join(spans, "span").select("block", (F.col("n") + F.col("sn")).cast("long").alias("seen"), (F.col("k") + F.col("sk")).cast("long").alias("kept"))
 
 
 def conversation_context(df: DataFrame, conv: str, turn: str, text_col: str) -> DataFrame:
@@ -233,10 +252,40 @@ def conversation_context(df: DataFrame, conv: str, turn: str, text_col: str) ->
     return df.withColumn("recent", recent).withColumn("adjustment", F.when(has(learning), -0.1).when(has(work), 0.1).otherwise(0.0))
 
 
+def _value_at(rows: DataFrame, value: str, rank: int, low: float, high: float, bins: int, most: int) -> float:
+    """The value of a rank from 0, by counting in ever narrower bins until one has few distinct values."""
+    while True:
+        few = rows.groupBy(value).agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect() if low < high else [(low, rank + 1)]
+        if len(few) <= most:
+            for v, n in sorted(map(tuple, few)):
+                if rank < n:
+                    return v
+                rank -= n
+        width = (high - low) / bins
+        bucket = F.least(F.floor((F.col(value) - low) / width), F.lit(bins - 1))
+        for _, n, low, high in sorted(map(tuple, rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)), F.min(value), F.max(value)).collect())):
+            if rank < n:
+                break
+            rank -= n
+        rows = rows.filter(F.col(value).between(low, high))
+
+
+def exact_percentile(df: DataFrame, value: str, q: float = 0.5, bins: int = 4096, most: int = 10_000) -> float | None:
+    """The interpolated percentile, exact, in passes that hold at most ``bins`` counts or ``most`` distinct values; null and NaN don't count, None without values."""
+    rows = df.select(F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull() & ~F.isnan(value))
+    n, low, high = rows.agg(F.count(F.lit(1)), F.min(value), F.max(value)).first()
+    if not n:
+        return None
+    place = q * (n - 1)
+    first = _value_at(rows, value, int(place), low, high, bins, most)
+    part = place - int(place)
+    return first if not part else first + part * (_value_at(rows, value, int(place) + 1, low, high, bins, most) - first)
+
+
 def percentile_filter(df: DataFrame, score: str, q: float = 0.75) -> DataFrame:
-    """Rows whose score is at or above the percentile, which is exact and joined as one row."""
-    cut_ = df.agg(F.percentile(score, q).alias("_cut"))
-    return df.join(F.broadcast(cut_), F.col(score) >= F.col("_cut")).drop("_cut")
+    """Rows whose score is at or above the exact percentile."""
+    least = exact_percentile(df, score, q)
+    return df.filter(F.col(score) >= F.lit(least))
 
 
 def hash_split(df: DataFrame, id_col: str, parts: int = 10, test: int = 0) -> DataFrame:

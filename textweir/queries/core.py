@@ -1,11 +1,12 @@
 """One query for each operator, with the SQL that gives the same rows.
 
 ``@query(sql)`` registers a function under its name. Operators that SQL can't express
-(back-references, models, greedy selection, probing an index) have no SQL.
+(models, greedy selection, probing an index) have no SQL.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,10 @@ from textweir.functions import categories as C
 from textweir.functions import rules as R
 from textweir.functions import scores as S
 from textweir.functions import text as T
-from textweir.operators import dedup, examples, scoring, similarity, stats
+from textweir.operators import dedup, examples, scorers, scoring, similarity, stats
 from textweir.plans import pipeline
 from textweir.sources import readers, writers
-from textweir.session import spread
+from textweir.session import cut, ensure_checkpoint_dir, spread
 from textweir.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,12 +59,6 @@ FEATURES = f"""
 d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 f AS (SELECT *, length(t) AS n_chars, regexp_extract_all(t, '{W}') AS words, regexp_extract_all(lower(t), '{W}') AS lwords,
         regexp_extract_all(lower(t), '{TOK}') AS toks, len(regexp_extract_all(t, '{W}')) AS n_words FROM d)"""
-COMMAND_TEXTS = (
-    "Turn on the lights at 8pm tonight.", "Please set a reminder for tomorrow at 9am.", "Play music in the living room.",
-    "Send a message to John about the meeting.", "Order pizza for dinner from the local place.", "Hey Google, turn off the bedroom lights.",
-    "Check the weather forecast for today.", "Set the thermostat to 72 degrees.", "This is just a regular sentence about mathematics.",
-    "I need to study for my algebra exam tomorrow.", "Can you turn on the TV in the living room?", "The book explains differential equations very well.",
-)
 
 
 def quoted(x: str) -> str:
@@ -94,6 +89,28 @@ def any_part(x: str, parts: Sequence[str]) -> str:
     return "(" + " OR ".join(f"contains({x}, {quoted(p)})" for p in parts) + ")"
 
 
+def phrase_sql(x: str, phrases: Sequence[str]) -> str:
+    return rf"regexp_matches(lower({x}), '(^|[^\p{{L}}\p{{N}}_])({'|'.join(phrases)})($|[^\p{{L}}\p{{N}}_])')"
+
+
+def marked_sql(x: str) -> str:
+    """The text with marks around each word, which stand in for word boundaries."""
+    return rf"regexp_replace({x}, '([\p{{L}}\p{{N}}_]+)', chr(1) || '\1' || chr(2), 'g')"
+
+
+def marked_phrases(phrases: Sequence[str]) -> str:
+    return "(" + "|".join(" ".join(f"\\x01{w}\\x02" for w in p.split(" ")) for p in phrases) + ")"
+
+
+#: The longest run of one character of each text, letter case ignored, and the number of runs of sixteen and more, by gaps and islands.
+RUNS_SQL = r"""ch AS (SELECT doc_id, unnest(string_split(lower(t), '')) AS c, generate_subscripts(string_split(lower(t), ''), 1) AS i FROM d WHERE t <> ''),
+  isl AS (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, c, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS g FROM ch WHERE c NOT IN (chr(10), chr(13), chr(133), chr(8232), chr(8233))) GROUP BY doc_id, c, g),
+  longest AS (SELECT doc_id, max(n) AS run, count(*) FILTER (WHERE n >= 16) AS runs FROM isl GROUP BY doc_id),
+  fr AS (SELECT f.*, coalesce(run, 0) AS run, coalesce(runs, 0) AS runs FROM f LEFT JOIN longest USING (doc_id))"""
+SIGN_SQL = rf"[^\p{{L}}\p{{N}}_{T.WS}]"
+POOR_SQL = rf"(regexp_matches(t, '^[^\n]{{1,5}}\n{{0,2}}$') OR NOT regexp_matches(t, '[^{T.WS}]') OR regexp_matches(t, '{SIGN_SQL}{{50,}}'))"
+PASSES_SQL = f"(NOT (run >= 16 OR {phrase_sql('t', R.SPAM_PHRASES)} OR {POOR_SQL}))"
+SPAM_SQL = f"((len(regexp_extract_all({marked_sql('lower(t)')}, '{marked_phrases(R.SPAM_PHRASES)}')) + runs)::DOUBLE / greatest(1, n_words) * 100.0::DOUBLE)"
 PRESELECT_SQL = r"""(n_chars BETWEEN 15 AND 4000 AND len(regexp_extract_all(t, '\p{Nd}')) <= n_chars * 0.5::DOUBLE
   AND len(regexp_extract_all(t, '[\p{L}\p{N}]')) >= n_chars * 0.6::DOUBLE
   AND NOT (len(list_distinct(regexp_extract_all(lower(t), '(?s).'))) <= 2 AND n_chars > 10))"""
@@ -191,12 +208,12 @@ def prj_contrastive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", p.alias("p")).filter("p is not null").select("doc_id", "p.query", F.md5("p.positive").alias("positive"))
 
 
-JUDGED = [(1, "fine [RESULT]: 4"), (2, "[RESULT] 2 and [RESULT]: 5"), (3, "no result"), (4, None), (5, "[RESULT]: 9"), (6, "")]
-
-
-@query(rf"SELECT id, coalesce(nullif(regexp_extract(answer, '\[RESULT\]:?\s*([1-5])', 1), '')::BIGINT, 3) AS score FROM {values(JUDGED, 'id, answer')}")
+@query(r"""WITH a AS (SELECT record_id, annotator, aspect, '[RESULT]: ' || trim(answer) || ' [RESULT] 2' AS answer FROM record_labels)
+  SELECT record_id, annotator, aspect, coalesce(nullif(regexp_extract(answer, '\[RESULT\]:?\s*([1-5])', 1), '')::BIGINT, 3) AS score FROM a""")
 def prj_judge_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(JUDGED, "id int, answer string").select("id", T.judge_score(F.col("answer")).alias("score"))
+    """Labels as a judge's answers: the first result counts, a level or, where the label is none, the second."""
+    answer = F.concat(F.lit("[RESULT]: "), F.trim("answer"), F.lit(" [RESULT] 2"))
+    return table(spark, sf_dir, "record_labels").select("record_id", "annotator", "aspect", T.judge_score(answer).alias("score"))
 
 
 @query("SELECT doc_id, md5('Context: ' || coalesce(text, '') || ' Question: ' || coalesce(source, '') || ' Answer: ' || coalesce(lang, '')) AS labelled FROM documents")
@@ -249,20 +266,50 @@ def flt_preselect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return featured(spark, sf_dir).filter(R.preselect()).select("doc_id")
 
 
-@query()
+@query(
+    f"""WITH {FEATURES}, {RUNS_SQL}, h AS (SELECT doc_id, {PASSES_SQL} AS passes, {POOR_SQL} AS poor, {SPAM_SQL} AS spam FROM fr)
+  SELECT doc_id, passes, round(greatest(CASE WHEN poor THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END, spam), 6) AS severity, NOT poor AND spam <= 10 AS is_safe,
+    concat_ws(',', CASE WHEN poor THEN 'quality' END, CASE WHEN spam > 10 THEN 'spam' END) AS violations FROM h"""
+)
 def flt_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = featured(spark, sf_dir).select("doc_id", R.passes_rules().alias("passes"), R.rule_hits().alias("hits"))
     return hits.select("doc_id", "passes", R.rule_grade(F.col("hits")).alias("g")).select("doc_id", "passes", r6(F.col("g.severity")).alias("severity"), "g.is_safe", F.array_join("g.violations", ",").alias("violations"))
 
 
-@query()
+def _enhanced_sql() -> str:
+    """CTE ``e``: the ordered checks (reason, looked, hits, hints) of every document."""
+    lines = "len(list_filter(string_split(t, chr(10)), lambda x: length(x) BETWEEN 1 AND 10)) > 0"
+    low = f"({lines} OR run >= 11 OR regexp_matches(t, '[A-Za-z]{{20,}}') OR regexp_matches(t, '\\p{{Nd}}{{50,}}') OR regexp_matches(t, '{SIGN_SQL}{{20,}}'))"
+    mean = "(list_sum(list_transform(words, lambda w: length(w)))::DOUBLE / n_words)"
+    hits = "((" + " + ".join(f"({in_count(ws)} > 0)::INT" for ws in R.QUALITY_WORDS) + f")::DOUBLE / {len(R.QUALITY_WORDS)})"
+    code = f"({in_count(R.CODE_WORDS)} > 0 OR regexp_matches(t, '[{{}}();]') OR regexp_matches(t, '^[{T.WS}]*#[^\\n]*\\n{{0,2}}$'))"
+    return f"""{RUNS_SQL}, e1 AS (SELECT doc_id, CASE WHEN NOT regexp_matches(t, '[^{T.WS}]') THEN 'Empty text' WHEN n_chars < 15 THEN 'Too short (< 15 chars)' WHEN n_chars > 4000 THEN 'Too long (> 4000 chars)'
+    WHEN {low} THEN 'Low quality pattern detected' END AS early, CASE WHEN {mean} < 2 OR {mean} > 15 THEN 'Unusual word length pattern'
+    WHEN n_chars > 50 AND len(list_distinct(regexp_extract_all(lower(t), '(?s).'))) < 10 THEN 'Low character diversity' END AS late,
+    {hits} AS hits, concat_ws(',', CASE WHEN {in_count(R.EDUCATIONAL_WORDS)} > 0 THEN 'educational' END, CASE WHEN {code} THEN 'code' END) AS hints FROM fr),
+  e AS (SELECT doc_id, coalesce(early, late) AS reason, CASE WHEN early IS NULL THEN hits ELSE 0.0::DOUBLE END AS quality_score, CASE WHEN early IS NULL THEN hints ELSE '' END AS hints FROM e1)"""
+
+
+ENHANCED_SQL = _enhanced_sql()
+
+
+@query(f"WITH {FEATURES}, {ENHANCED_SQL} SELECT doc_id, reason IS NULL AS passed, reason, round(quality_score, 6) AS quality_score, hints FROM e")
 def flt_enhanced_preselect(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = featured(spark, sf_dir).select("doc_id", R.enhanced_checks().alias("c"))
     g = checks.select("doc_id", R.enhanced_preselect(F.col("c")).alias("g"))
     return g.select("doc_id", "g.passed", "g.reason", r6(F.col("g.quality_score")).alias("quality_score"), F.array_join("g.hints", ",").alias("hints"))
 
 
-@query()
+def _clean_sql(capitals: str) -> str:
+    bare = f"trim(regexp_replace(t, '[{T.WS}]+', ' ', 'g'), ' ')"
+    out = f"regexp_replace({marked_sql(bare)}, '(?i){marked_phrases(R.CLEAN_PHRASES)}', '', 'g')"
+    out = rf"regexp_replace(replace(replace({out}, chr(1), ''), chr(2), ''), '(?i)(^|[^\p{{L}}\p{{N}}_])(?:www\.|http://|https://)[^{T.WS}]+', '\1', 'g')"
+    out = f"replace(replace(regexp_replace({marked_sql(out)}, '\\x01[{capitals}]{{5,}}\\x02', '', 'g'), chr(1), ''), chr(2), '')"
+    out = rf"regexp_replace(regexp_replace({out}, '!{{2,}}', '', 'g'), '\?{{2,}}', '', 'g')"
+    return strip_sql(rf"regexp_replace({out}, '[^\p{{L}}\p{{N}}_{T.WS}.,!?-]', '', 'g')")
+
+
+@query(f"WITH {FEATURES} SELECT doc_id, {_clean_sql('A-Za-z')} AS cleaned, {_clean_sql('A-Z')} AS cleaned_capitals FROM d")
 def prj_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.text_or_empty("text")
     return docs(spark, sf_dir).select("doc_id", R.clean_for_safety(t).alias("cleaned"), R.clean_for_safety(t, keep_long_words=True).alias("cleaned_capitals"))
@@ -356,16 +403,19 @@ def flt_rethreshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {INAPPROPRIATE_SQL[5:].split(' SELECT record_id, array_to_string(reasons')[0]},
   r AS (SELECT record_id, reasons, least(1.0::DOUBLE, {INAPPROPRIATE_SQL.split('least(1.0::DOUBLE, ')[1].split('), 6)')[0]}) AS confidence, n_chars FROM l),
-  m AS (SELECT record_id, max(toxicity_analysis.raw_score) AS raw, max(upper(trim(toxicity_analysis.label))) AS label FROM inappropriate_filter_jason WHERE record_id IS NOT NULL GROUP BY record_id),
+  m AS (SELECT record_id, s.raw AS raw, s.label AS label FROM (SELECT record_id, max(struct_pack(at := processed_at, label := upper(trim(toxicity_analysis.label)), raw := coalesce(toxicity_analysis.raw_score, -1))) AS s FROM inappropriate_filter_jason WHERE record_id IS NOT NULL AND toxicity_analysis.label IS NOT NULL GROUP BY record_id)),
   j AS (SELECT r.*, raw, label FROM r LEFT JOIN m USING (record_id))
   SELECT record_id, CASE WHEN n_chars < 3 THEN false WHEN confidence > 0.5 THEN true ELSE coalesce(label = 'TOXIC' AND raw > 0.5, false) END AS is_toxic,
-  round(CASE WHEN n_chars < 3 THEN 0 WHEN confidence > 0.5 THEN confidence WHEN len(reasons) > 0 THEN least(1.0::DOUBLE, coalesce(raw, 0) + 0.2::DOUBLE * confidence) ELSE coalesce(raw, 0) END, 6) AS confidence FROM j"""
+  round(CASE WHEN n_chars < 3 THEN 0 WHEN confidence > 0.5 THEN confidence WHEN len(reasons) > 0 THEN least(1.0::DOUBLE, greatest(coalesce(raw, 0), 0) + 0.2::DOUBLE * confidence) ELSE greatest(coalesce(raw, 0), 0) END, 6) AS confidence FROM j"""
 )
 def flt_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules first, then the stored model score: a text that the rules settle doesn't need the model."""
     rules = flagged(spark, sf_dir).select("record_id", "n_chars", R.inappropriate(F.col("flags")).alias("g"))
     a = F.col("toxicity_analysis")
-    model = table(spark, sf_dir, "inappropriate_filter_jason").filter("record_id is not null").groupBy("record_id").agg(F.max(a["raw_score"]).alias("raw"), F.max(F.upper(F.trim(a["label"]))).alias("label"))
+    # The latest verdict counts, as a whole.
+    last = F.max(F.struct("processed_at", F.upper(F.trim(a["label"])).alias("label"), F.coalesce(a["raw_score"], F.lit(-1.0)).alias("raw"))).alias("v")
+    held = table(spark, sf_dir, "inappropriate_filter_jason").filter(F.col("record_id").isNotNull() & a["label"].isNotNull()).groupBy("record_id").agg(last)
+    model = held.select("record_id", "v.label", F.when(F.col("v.raw") >= 0, F.col("v.raw")).alias("raw"))
     d = R.toxicity_decision(F.col("label"), F.col("raw"), F.col("g.reasons"), F.col("g.confidence"), F.col("n_chars"))
     return rules.join(model, "record_id", "left").select("record_id", d.alias("d")).select("record_id", "d.is_toxic", r6(F.col("d.confidence")).alias("confidence"))
 
@@ -453,7 +503,7 @@ def _command_sql() -> str:
     groups = ", ".join(f"({v}) AS {g if g != 'time' else 'times'}" for g, v in by.items())
     every = range(len(C.COMMANDS))
     raw = "(actions + devices + times + location + services + imperatives)"
-    return f"""WITH s AS (SELECT record_id AS id, coalesce(text, '') AS t FROM refined_commands_filtered UNION ALL SELECT * FROM {values(list(enumerate(COMMAND_TEXTS, 1)), 'id, t')}),
+    return f"""WITH s AS (SELECT record_id AS id, coalesce(text, '') AS t FROM refined_commands_filtered),
   c AS (SELECT id, length(t) AS n, {counts} FROM s), g AS (SELECT *, {groups}, {' + '.join(f'(c{i} > 0)::INT' for i in every)} AS kinds, {' + '.join(f'c{i}' for i in every)} AS matches FROM c),
   k AS (SELECT *, CASE WHEN n > 0 THEN least(100.0::DOUBLE, {raw}::DOUBLE / (n / 1000.0::DOUBLE)) ELSE 0.0::DOUBLE END AS score,
     {' + '.join(f'({g} > 0)::INT' for g in ('actions', 'devices', 'times', 'location', 'services', 'imperatives'))} AS types FROM g),
@@ -463,8 +513,7 @@ def _command_sql() -> str:
 
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fixed = spark.createDataFrame(list(enumerate(COMMAND_TEXTS, 1)), "id long, t string")
-    every = spread(table(spark, sf_dir, "refined_commands_filtered").select(F.col("record_id").alias("id"), T.text_or_empty("text").alias("t"))).unionByName(fixed)
+    every = spread(table(spark, sf_dir, "refined_commands_filtered").select(F.col("record_id").alias("id"), T.text_or_empty("text").alias("t")))
     counted = every.select("id", F.length("t").alias("n"), C.command_counts(F.col("t")).alias("counts"))
     return counted.select("id", C.command_scores(F.col("counts"), F.col("n")).alias("c")).select("id", "c.*")
 
@@ -498,19 +547,21 @@ def scr_rho(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rho.select("doc_id", F.size("k").cast("long").alias("kept"), r6(F.when(F.size("k") > 0, mean)).alias("mean_rho"))
 
 
-@query()
+@query(
+    f"""WITH {LM_CTE}, k AS (SELECT x.doc_id, string_agg(f.words[x.i], ' ' ORDER BY x.i) AS cleaned FROM x JOIN m USING (doc_id) JOIN f ON f.doc_id = x.doc_id WHERE loss / top >= 0.5::DOUBLE GROUP BY x.doc_id)
+  SELECT doc_id, coalesce(cleaned, '') AS cleaned FROM f LEFT JOIN k USING (doc_id)"""
+)
 def scr_cleaned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.clean_tokens(docs(spark, sf_dir), "doc_id", "text", 0.5)
 
 
 @query(
-    f"""WITH {LM_CTE}, a AS (SELECT doc_id, coalesce(avg(loss) FILTER (WHERE i > 1), 0.0::DOUBLE) AS a FROM x GROUP BY doc_id), e AS (SELECT doc_id, round(coalesce(a, 0.0::DOUBLE), 6) AS a FROM f LEFT JOIN a USING (doc_id))
-  SELECT count(*) AS kept, round((SELECT quantile_cont(a, 0.75) FROM e), 5) AS p75 FROM e WHERE a >= (SELECT quantile_cont(a, 0.75) FROM e)"""
+    f"""WITH {LM_CTE}, a AS (SELECT doc_id, coalesce(avg(loss) FILTER (WHERE i > 1), 0.0::DOUBLE) AS a FROM x GROUP BY doc_id), e AS (SELECT doc_id, round(coalesce(a.a, 0.0::DOUBLE), 6) AS a FROM f LEFT JOIN a USING (doc_id))
+  SELECT doc_id, a FROM e WHERE a >= (SELECT quantile_cont(a, 0.75) FROM e)"""
 )
 def flt_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scoring.lm_scores(docs(spark, sf_dir), "doc_id", "text").withColumn("a", r6(F.col("avg_score")))
-    cut_ = s.agg(F.round(F.percentile("a", 0.75), 5).alias("p75"))
-    return stats.percentile_filter(s, "a").agg(F.count(F.lit(1)).alias("kept")).join(cut_).select("kept", "p75")
+    s = cut(scoring.lm_scores(docs(spark, sf_dir), "doc_id", "text").select("doc_id", r6(F.col("avg_score")).alias("a")))
+    return stats.percentile_filter(s, "a").select("doc_id", "a")
 
 
 def _response_sql() -> str:
@@ -542,7 +593,7 @@ def _category_sql() -> str:
     low = "lower(t)"
     every = "[" + ", ".join(f"CASE WHEN {any_part(low, [w.lower() for w in ws])} THEN '{k}' END" for k, ws in C.KEYWORDS.items()) + "]"
     first = " ".join(f"WHEN {any_part(low, ws)} THEN '{k}'" for k, ws in C.FIRST_MATCH.items())
-    weights = ", ".join(f"({v}) AS w_{k}" for k, v in _weighted_sql(low, C.KEYWORDS).items())
+    weights = ", ".join(f"({v}) AS w_{k}" for k, v in _weighted_sql(low, C.PRESELECT_CATEGORIES).items())
     best = "greatest(" + ", ".join(f"w_{k}" for k in C.KEYWORDS) + ")"
     chosen = " ".join(f"WHEN w_{k} = {best} THEN '{k}'" for k in C.TIE_ORDER)
     count = " + ".join(f"(length({low}) - length(replace({low}, {quoted(w)}, ''))) // {len(w)} * {n}" for w, n in C._weights(C.KEYWORDS["reasoning"]).items())
@@ -557,7 +608,7 @@ def cat_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.array_join(C.all_matching(low), ",").alias("all_categories"),
         C.first_matching(low).alias("first_category"),
-        C.best_weighted(low, C.KEYWORDS).alias("best_category"),
+        C.best_weighted(low).alias("best_category"),
         C.occurrence_score(low, C.KEYWORDS["reasoning"]).alias("reasoning_score"),
     )
 
@@ -631,7 +682,24 @@ def dup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.components(nodes, dedup.bucket_stars(near_buckets(spark, sf_dir)), "doc_id")
 
 
-@query()
+_G = dedup.AT_05
+
+
+@query(
+    f"""WITH RECURSIVE {FEATURES}, first AS (SELECT min(doc_id) AS doc_id FROM d WHERE length({strip_sql('t')}) >= 10 GROUP BY sha256({normal_sql('t')})),
+  t1 AS (SELECT f.doc_id, {normal_sql('t')} AS t FROM f JOIN first USING (doc_id) WHERE n_words >= 5),
+  g AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(list_filter(string_split(t, ' '), lambda w: length(w) > 2)) AS s FROM t1
+        UNION ALL SELECT doc_id, substr(t, i, 3) FROM (SELECT doc_id, t, unnest(range(1, greatest(length(t) - 1, 1))) AS i FROM t1))),
+  h AS (SELECT doc_id, ('0x' || substr(md5(s), 1, 8))::BIGINT AS h FROM g),
+  j AS (SELECT j, (j * 2654435761 + 1) % 1073741824 AS a, (j * 40503 + 7) % 1073741824 AS b FROM range(1, {_G.bands * _G.rows + 1}) t(j)),
+  m AS (SELECT doc_id, j, min((a * h + b) % {dedup.PRIME}) AS v FROM h CROSS JOIN j GROUP BY doc_id, j),
+  b AS (SELECT doc_id, hash((j - 1) // {_G.rows}, string_agg(v::VARCHAR, ',' ORDER BY j)) AS k FROM m GROUP BY doc_id, (j - 1) // {_G.rows}),
+  shared AS (SELECT k FROM b GROUP BY k HAVING count(*) > 1),
+  c AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, ks FROM (SELECT doc_id, list(k) AS ks FROM b WHERE k IN (SELECT k FROM shared) GROUP BY doc_id)),
+  r AS (SELECT 0::BIGINT AS n, []::UBIGINT[] AS used, NULL::BIGINT AS dropped
+        UNION ALL SELECT c.n, CASE WHEN list_has_any(used, ks) THEN used ELSE list_concat(used, ks) END, CASE WHEN list_has_any(used, ks) THEN c.doc_id END FROM r JOIN c ON c.n = r.n + 1)
+  SELECT doc_id FROM first WHERE doc_id NOT IN (SELECT dropped FROM r WHERE dropped IS NOT NULL)"""
+)
 def dup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and character trigrams at 0.5, first come first kept."""
     first = dedup.exact_survivors(docs(spark, sf_dir), "doc_id", "text").select("doc_id")
@@ -880,16 +948,17 @@ def win_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.running_totals(featured(spark, sf_dir).select("doc_id", R.preselect().alias("p")), "doc_id", "p")
 
 
-TURNS = [(1, 1, "hi there"), (1, 2, "I want to study algebra"), (1, 3, "ok"), (1, 4, "next"), (1, 5, "more"), (1, 6, "done"), (1, 7, "bye"), (2, 1, "the network project"), (2, 2, None), (3, 1, "nothing special")]
-
-
 @query(
-    f"""WITH c AS (SELECT * FROM {values(TURNS, 'conv_id, turn, text')}), w AS (SELECT conv_id, turn, array_to_string(list(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), ' ') AS recent FROM c)
-  SELECT conv_id, turn, recent, CASE WHEN {any_part('lower(recent)', ('learn', 'study', 'education', 'teach', 'school'))} THEN -0.1::DOUBLE WHEN {any_part('lower(recent)', ('work', 'business', 'meeting', 'project', 'office'))} THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS adjustment FROM w"""
+    f"""WITH c AS (SELECT record_id, coalesce(source, 'unknown') || date_trunc('day', ingested_at)::VARCHAR AS conv, ingested_at, text FROM refined_commands_filtered),
+  w AS (SELECT record_id, array_to_string(list(coalesce(text, '')) OVER (PARTITION BY conv ORDER BY ingested_at, record_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), ' ') AS recent FROM c)
+  SELECT record_id, md5(recent) AS recent, CASE WHEN {any_part('lower(recent)', ('learn', 'study', 'education', 'teach', 'school'))} THEN -0.1::DOUBLE WHEN {any_part('lower(recent)', ('work', 'business', 'meeting', 'project', 'office'))} THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS adjustment FROM w"""
 )
 def win_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame(TURNS, "conv_id int, turn int, text string")
-    return stats.conversation_context(df, "conv_id", "turn", "text").select("conv_id", "turn", "recent", "adjustment")
+    """The records of a source and day in the order of their arrival as the turns of a conversation."""
+    rows = table(spark, sf_dir, "refined_commands_filtered").select(
+        "record_id", "text", F.concat(F.coalesce("source", F.lit("unknown")), F.date_trunc("day", "ingested_at").cast("string")).alias("conv"), F.struct("ingested_at", "record_id").alias("turn")
+    )
+    return stats.conversation_context(rows, "conv", "turn", "text").select("record_id", F.md5("recent").alias("recent"), "adjustment")
 
 
 @query(f"WITH {QUALITY_CTE} SELECT doc_id, round(overall, 6) AS overall FROM o ORDER BY round(overall, 6) DESC, doc_id LIMIT 100")
@@ -905,12 +974,12 @@ def srt_top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- sets, joins, splits, sweeps
 
 
-@query("WITH a AS (SELECT md5(coalesce(text, '')) AS k FROM documents), b AS (SELECT md5(coalesce(text, '')) AS k FROM refined_commands_filtered) SELECT (SELECT count(*) FROM a WHERE k IN (SELECT k FROM b)) AS hits, (SELECT count(*) FROM a WHERE k NOT IN (SELECT k FROM b)) AS misses")
+@query("WITH a AS (SELECT doc_id, md5(coalesce(text, '')) AS k FROM documents), b AS (SELECT md5(coalesce(text, '')) AS k FROM refined_commands_filtered) SELECT doc_id, k IN (SELECT k FROM b) AS hit FROM a")
 def jn_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents a cache of the records' hashes would answer."""
-    a = docs(spark, sf_dir).select(F.md5(T.text_or_empty("text")).alias("k"))
+    a = docs(spark, sf_dir).select("doc_id", F.md5(T.text_or_empty("text")).alias("k"))
     b = table(spark, sf_dir, "refined_commands_filtered").select(F.md5(T.text_or_empty("text")).alias("k")).distinct().withColumn("hit", F.lit(True))
-    return a.join(b, "k", "left").agg(F.count("hit").alias("hits"), F.count_if(F.col("hit").isNull()).alias("misses"))
+    return a.join(b, "k", "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
 @query(
@@ -921,11 +990,11 @@ def jn_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return examples.with_negative(docs(spark, sf_dir), "doc_id")
 
 
-@query("SELECT label, count(*) AS records FROM (SELECT 1::BIGINT AS label FROM documents UNION ALL SELECT 0::BIGINT FROM refined_commands_filtered) GROUP BY 1")
+@query("SELECT doc_id AS id, md5(text) AS text, 1::BIGINT AS label FROM documents UNION ALL SELECT record_id, md5(text), 0::BIGINT FROM refined_commands_filtered")
 def set_labelled_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = docs(spark, sf_dir).select("text").withColumn("label", F.lit(1).cast("long"))
-    b = table(spark, sf_dir, "refined_commands_filtered").select("text").withColumn("label", F.lit(0).cast("long"))
-    return a.unionByName(b).groupBy("label").agg(F.count(F.lit(1)).alias("records"))
+    a = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.md5("text").alias("text"), F.lit(1).cast("long").alias("label"))
+    b = table(spark, sf_dir, "refined_commands_filtered").select(F.col("record_id").alias("id"), F.md5("text").alias("text"), F.lit(0).cast("long").alias("label"))
+    return a.unionByName(b)
 
 
 @query("SELECT doc_id, (('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 10) = 0 AS is_test FROM documents")
@@ -950,43 +1019,273 @@ def flt_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.classify(model, rows, "text").filter(F.col("p1") >= 0.9).select("record_id", r6(F.col("p1")).alias("p1"))
 
 
-@query()
+#: The reference's 0.3 is for sentence vectors. As many documents of sf0.1 reach this TF-IDF cosine as vectors of its embeddings reach 0.3.
+NEAR_DESCRIPTION = 0.015
+#: The reference's 50 is a neural model's perplexity; a unigram model's lies at a few hundred for common texts.
+MOST_PERPLEXITY = 1000.0
+ALL_CATEGORIES_SQL = "list_filter([" + ", ".join(f"CASE WHEN {any_part('lower(t)', [w.lower() for w in ws])} THEN '{k}' END" for k, ws in C.KEYWORDS.items()) + "], lambda x: x IS NOT NULL)"
+NEAREST_SQL = "near AS (SELECT doc_id, max(struct_pack(s := round(similarity, 9), c := category)) AS b FROM cosines GROUP BY doc_id)"
+
+
+def nearest_description(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, similarity, category) of the best description's TF-IDF similarity, in place of a sentence encoder or a zero-shot classifier."""
+    found = similarity.tfidf_similarity(docs(spark, sf_dir), "doc_id", "text", DESCRIBED).select("doc_id", F.round("similarity", 9).alias("similarity"), "category")
+    return found.groupBy("doc_id").agg(F.max(F.struct("similarity", "category")).alias("b")).select("doc_id", "b.similarity", "b.category")
+
+
+@query(
+    f"""WITH {TFIDF_CTE}, {NEAREST_SQL}, {LM_CTE.removeprefix(FEATURES).lstrip(', ')}, {RUNS_SQL}, a AS (SELECT doc_id, avg(loss) FILTER (WHERE i > 1) AS a FROM x GROUP BY doc_id),
+  n1 AS (SELECT fr.*, {ALL_CATEGORIES_SQL} AS native FROM fr),
+  c1 AS (SELECT n1.*, round(coalesce(a, 0.0::DOUBLE), 6) AS lp, CASE WHEN len(native) > 0 THEN native WHEN b.s >= {NEAR_DESCRIPTION}::DOUBLE THEN [b.c] ELSE [] END AS categories FROM n1 LEFT JOIN a USING (doc_id) LEFT JOIN near USING (doc_id))
+  SELECT doc_id, CASE WHEN n_words NOT BETWEEN 20 AND 1024 THEN 'word_count' WHEN NOT {PASSES_SQL} THEN 'rules' WHEN {READABILITY_SQL} < 0.2::DOUBLE THEN 'readability' WHEN {DIVERSITY_SQL} < 0.2::DOUBLE THEN 'diversity'
+    WHEN lp > ln({MOST_PERPLEXITY}::DOUBLE) THEN 'perplexity' WHEN len(categories) = 0 THEN 'category' END AS rejected_at, array_to_string(categories, ',') AS categories FROM c1"""
+)
 def plan_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.chain(docs(spark, sf_dir)).select("doc_id", "rejected_at", F.array_join("categories", ",").alias("categories"))
+    """All six stages; unigram perplexity, and the nearest description as the label where no keyword gives one."""
+    lm = scoring.lm_scores(docs(spark, sf_dir), "doc_id", "text").select("doc_id", r6(F.col("avg_score")).alias("lp"))
+    near = nearest_description(spark, sf_dir).select("doc_id", F.when(F.col("similarity") >= NEAR_DESCRIPTION, F.array("category")).alias("zero_shot"))
+    rows = docs(spark, sf_dir).join(lm, "doc_id").join(near, "doc_id")
+    out = pipeline.chain(rows, log_perplexity="lp", most_perplexity=MOST_PERPLEXITY, fallback="zero_shot")
+    return out.select("doc_id", "rejected_at", F.array_join("categories", ",").alias("categories"))
+
+
+def _comprehensive_sql() -> str:
+    weights = ", ".join(f"({v}) AS w_{k}" for k, v in _weighted_sql("lower(t)", C.PRESELECT_CATEGORIES).items())
+    best = "greatest(" + ", ".join(f"w_{k}" for k in C.TIE_ORDER) + ")"
+    category = f"CASE WHEN {best} < 1 THEN 'uncategorized' " + " ".join(f"WHEN w_{k} = {best} THEN '{k}'" for k in C.TIE_ORDER) + " END"
+    return f"""WITH {QUALITY_CTE}, {RUNS_SQL}, g AS (SELECT o.*, fr.runs, {weights} FROM o JOIN (SELECT doc_id, runs FROM fr) AS fr USING (doc_id)),
+  k AS (SELECT *, {category} AS category FROM g), r AS (SELECT *, CASE WHEN NOT {PRESELECT_SQL} THEN 'preselect' WHEN {POOR_SQL} OR {SPAM_SQL} > 10 THEN 'rules' WHEN overall < {C.domain('general').quality}::DOUBLE THEN 'quality'
+    WHEN category = 'uncategorized' THEN 'category' END AS rejected_at FROM k)
+  SELECT doc_id, round(overall, 6) AS overall_quality, category, rejected_at, rejected_at IS NULL AS should_include FROM r"""
 
 
 @query()
+def cat_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four categories learnt from the older exports' categories, for every document; the most probable one."""
+    names = list(C.TIE_ORDER)
+    labels = exports(spark, sf_dir).filter(F.col("category").isin(names)).groupBy("record_id").agg(F.max_by("category", "exported_at").alias("category"))
+    index = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("category")) - 1
+    rows = table(spark, sf_dir, "refined_commands_filtered").select("record_id", "text").join(labels.select("record_id", index.alias("label")), "record_id")
+    model = scoring.fit_classifier(rows, "text", "label")
+    return scoring.classify_labels(model, docs(spark, sf_dir), "text", names).select("doc_id", "category", r6(F.col("confidence")).alias("confidence"))
+
+
+@query(f"WITH {FEATURES}, s AS (SELECT round({reward_sql()}, 6) AS s FROM f) SELECT true AS as_good_as_the_grid, count(*) AS rows FROM s")
+def udf_best_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A guided search of the threshold finds a value no worse than a coarse grid's best, less a hundredth."""
+    s = cut(featured(spark, sf_dir).select(r6(S.simple_reward()).alias("s")))
+    _, found = scoring.best_of(s, "s", 0.0, 1.0)
+    kept = F.col("kept") / F.lit(float(max(1, s.count())))
+    best = scoring.threshold_sweep(s, "s", GRID).agg(F.max(F.coalesce("mean_score", F.lit(0.0)) * kept).alias("grid"))
+    return s.agg(F.count(F.lit(1)).alias("rows")).join(best).select((F.lit(found) >= F.col("grid") - 0.01).alias("as_good_as_the_grid"), "rows")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE len(tokens) > 0) AS valid, count(*) FILTER (WHERE len(tokens) BETWEEN 80 AND 3000) AS kept, round(count(*) FILTER (WHERE len(tokens) BETWEEN 80 AND 3000) * 100.0::DOUBLE / count(*), 6) AS retention FROM climblab_sample")
+def flt_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the length filter keeps."""
+    return stats.retention(pieces(spark, sf_dir), "n", 80, 3000)
+
+
+@query(f"WITH {FEATURES}, h AS (SELECT n_chars, {HEURISTIC_SQL} AS score FROM f) SELECT count(*) FILTER (WHERE n_chars < 10) AS too_short, count(*) FILTER (WHERE n_chars >= 10 AND score < 0.3::DOUBLE) AS low_quality, count(*) FILTER (WHERE n_chars >= 10 AND score >= 0.3::DOUBLE) AS selected FROM h")
+def agg_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = featured(spark, sf_dir).withColumn("score", S.heuristic_quality())
+    short, low = F.col("n_chars") < 10, F.col("score") < 0.3
+    return f.agg(F.count_if(short).alias("too_short"), F.count_if(~short & low).alias("low_quality"), F.count_if(~short & ~low).alias("selected"))
+
+
+@query(
+    f"WITH {PIECES}, k AS (SELECT * FROM (VALUES ('unknown'), ('no such cluster')) AS v(cluster_id)), g AS (SELECT cluster_id, count(*) AS n FROM c GROUP BY 1) "
+    "SELECT k.cluster_id, coalesce(n, 0)::BIGINT AS records, CASE WHEN n IS NULL THEN 'Cluster ' || chr(39) || k.cluster_id || chr(39) || ' not found' END AS error FROM k LEFT JOIN g USING (cluster_id)"
+)
+def jn_cluster_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named clusters with their size, or an error row."""
+    return stats.looked_up(pieces(spark, sf_dir), "cluster_id", ["unknown", "no such cluster"])
+
+
+@query(_comprehensive_sql())
 def plan_comprehensive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.comprehensive(docs(spark, sf_dir)).select("doc_id", r6(F.col("overall_quality")).alias("overall_quality"), "category", "rejected_at", "should_include")
 
 
-#: The reference's 0.3 is for sentence vectors. As many documents of sf0.1 reach this TF-IDF cosine as vectors of its embeddings reach 0.3.
-NEAR_DESCRIPTION = 0.015
+def stand_in():
+    """A scorer that SQL knows too: the share of distinct words."""
 
+    def score(texts: list[str]) -> list[float]:
+        words_ = [t.split() for t in texts]
+        return [len(set(w)) / len(w) if w else 0.0 for w in words_]
 
-@query()
+    return score
+
+
+STAND_IN_SQL = "CASE WHEN n_words = 0 THEN 0.0::DOUBLE ELSE len(list_distinct(words))::DOUBLE / n_words END"
+
+
+@query(
+    f"""WITH {TFIDF_CTE}, {NEAREST_SQL}, {ENHANCED_SQL}, v AS (SELECT e.doc_id, e.reason IS NULL AS rule, e.quality_score, e.hints, b.s AS s, b.c AS c, {STAND_IN_SQL} AS m FROM e JOIN near USING (doc_id) JOIN f USING (doc_id)),
+  w AS (SELECT *, rule AND s >= {NEAR_DESCRIPTION}::DOUBLE AS near_ FROM v), y AS (SELECT *, near_ AND m >= 0.6::DOUBLE AS passed FROM w)
+  SELECT doc_id, passed, round(CASE WHEN passed THEN (quality_score + s + m) / 3 WHEN near_ THEN (quality_score + s) / 2 WHEN rule THEN quality_score ELSE 0 END, 6) AS combined_score,
+    CASE WHEN near_ THEN concat_ws(',', nullif(hints, ''), c) WHEN rule THEN hints ELSE '' END AS hints FROM y"""
+)
 def plan_combined_preselect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules, then the best description's TF-IDF similarity in place of a sentence encoder."""
-    near = similarity.tfidf_similarity(docs(spark, sf_dir), "doc_id", "text", DESCRIBED).groupBy("doc_id").agg(F.max(F.struct("similarity", "category")).alias("best"))
+    """Rules, then the best description's TF-IDF similarity, then a scorer's confidence; here a stand-in scores."""
     checks = featured(spark, sf_dir).select("doc_id", R.enhanced_checks().alias("c"))
-    rows = checks.select("doc_id", R.enhanced_preselect(F.col("c")).alias("rule")).join(near, "doc_id")
-    out = rows.select("doc_id", pipeline.combined_preselect(F.col("rule"), F.col("best.similarity"), F.col("best.category"), least=NEAR_DESCRIPTION).alias("p"))
+    model = scorers.scores(docs(spark, sf_dir), "doc_id", "text", stand_in).select("doc_id", "score")
+    rows = checks.select("doc_id", R.enhanced_preselect(F.col("c")).alias("rule")).join(nearest_description(spark, sf_dir), "doc_id").join(model, "doc_id")
+    out = rows.select("doc_id", pipeline.combined_preselect(F.col("rule"), F.col("similarity"), F.col("category"), NEAR_DESCRIPTION, F.col("score")).alias("p"))
     return out.select("doc_id", "p.passed", r6(F.col("p.combined_score")).alias("combined_score"), F.array_join("p.hints", ",").alias("hints"))
 
 
+@query(
+    f"""WITH {FEATURES}, {RUNS_SQL}, h AS (SELECT *, {POOR_SQL} OR {SPAM_SQL} > 0 AS suspicious FROM fr)
+  SELECT doc_id, suspicious AS scored, round(CASE WHEN suspicious THEN {STAND_IN_SQL} ELSE 0 END, 6) AS score FROM h"""
+)
+def flt_suspicious(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model sees only texts that the rules find suspicious; all others have a score of 0."""
+    hits = featured(spark, sf_dir).select("doc_id", "text", R.rule_hits().alias("h"))
+    wanted = F.col("h.poor") | (F.col("h.spam") > 0)
+    return scorers.scores_where(hits, wanted, "doc_id", "text", stand_in, otherwise=0.0).select("doc_id", "scored", r6(F.col("score")).alias("score"))
+
+
+def missing_model():
+    raise OSError("no such model")
+
+
+@query(f"WITH {FEATURES} SELECT doc_id, round({STAND_IN_SQL}, 6) AS score, {STAND_IN_SQL} >= 0.6::DOUBLE AS confident, 0.5::DOUBLE AS without_model FROM f")
+def flt_confident(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's confidence as a gate, and the fallback score where the model can't be loaded."""
+    rows = scorers.scores(docs(spark, sf_dir), "doc_id", "text", stand_in)
+    none = scorers.scores(docs(spark, sf_dir), "doc_id", "text", missing_model).select("doc_id", F.col("score").alias("without_model"))
+    return rows.join(none, "doc_id").select("doc_id", r6(F.col("score")).alias("score"), pipeline.confident(F.col("score")).alias("confident"), "without_model")
+
+
+@query(
+    f"WITH e AS (SELECT record_id, lower(trim(category)) AS category, quality_score, filter_passed, category_relevant FROM oldfilteringbig1900cursorcode) "
+    "SELECT record_id, CASE WHEN category = 'rag' THEN 'chatrag' ELSE category END AS category, coalesce(filter_passed, false) OR coalesce(category_relevant AND quality_score > 0.2 AND NOT isnan(quality_score), false) AS exported FROM e WHERE category IN ('function_calling', 'reasoning', 'roleplay', 'rag')"
+)
+def flt_exportable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relevance gate of exports by category, under their names there; a quality that is null, NaN or low doesn't make up for a failed filter."""
+    e = exports(spark, sf_dir).filter(F.col("category").isin(*C.TIE_ORDER))
+    gate = C.exportable(F.col("filter_passed"), F.col("category_relevant"), F.col("quality_score"))
+    return e.select("record_id", C.renamed(F.col("category")).alias("category"), gate.alias("exported"))
+
+
+@query(
+    f"""WITH {FEATURES} SELECT doc_id, md5('Context:' || chr(10) || array_to_string(string_split(t, '. '), chr(10)) || chr(10) || chr(10) || 'User: ' || coalesce(source, '') || chr(10) || 'Assistant:') AS retrieval,
+  md5('Grade the response from 1 to 5 and end with [RESULT]: and the number.' || chr(10) || chr(10) || 'Instruction:' || chr(10) || 'Explain.' || chr(10) || chr(10) || 'Response:' || chr(10) || t || chr(10) || chr(10) || 'Reference (score 5):' || chr(10) || 'Clear.' || chr(10) || chr(10) || 'Criteria:' || chr(10) || 'Is it clear?'
+    || chr(10) || 'Score 1: no' || chr(10) || 'Score 2: yes') AS judge,
+  {strip_sql("array_to_string(string_split(t, chr(10)), ' ')")} AS conversation FROM d"""
+)
+def prj_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A retrieval prompt, a judge's prompt, and a conversation flattened; each document's lines are the turns."""
+    t = T.text_or_empty("text")
+    turns = F.transform(F.split(t, "\n"), lambda x: F.struct(x.alias("value")))
+    rows = docs(spark, sf_dir).select("doc_id", t.alias("t"), "source", turns.alias("conversations"))
+    return T.sample_text(rows, "conversation").select(
+        "doc_id",
+        F.md5(T.retrieval_prompt(F.split("t", r"\. "), F.col("source"))).alias("retrieval"),
+        F.md5(T.judge_prompt(F.col("t"), "Explain.", "Clear.", "Is it clear?", ["no", "yes"])).alias("judge"),
+        "conversation",
+    )
+
+
 # -- sinks and streams
 
 
-@query(f"WITH {OLD_SQL} SELECT category, count(*) AS records FROM e WHERE category IS NOT NULL GROUP BY 1")
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that all executors share."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {OLD_SQL} SELECT record_id, CASE WHEN category = 'rag' THEN 'chatrag' ELSE category END AS category, round(quality_score, 6) AS quality_score FROM e WHERE category IS NOT NULL")
 def snk_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written by category to the shared folder and read again."""
-    import uuid
+    """Written by category, under its name there, and read again."""
+    path = shared_folder(spark, "export")
+    rows = exports(spark, sf_dir).filter("category is not null").select("record_id", C.renamed(F.col("category")).alias("category"), "quality_score")
+    writers.write_by_category(rows, path)
+    return spark.read.schema("record_id long, quality_score double, category string").json(f"{path}/separate").select("record_id", "category", r6(F.col("quality_score")).alias("quality_score"))
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS text, coalesce(lang, 'und') AS lang, false AS is_bad FROM documents")
+def snk_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written in shards of contiguous ids and read again: audited, from the folder with a default language."""
+    path = shared_folder(spark, "shards")
+    writers.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path, 4, "doc_id")
+    folder = readers.read_folder(spark, path, "doc_id long, text string, lang string", default_metadata={"lang": "und"}).select("doc_id", "lang")
+    audited = readers.read_json_lines_audited(spark, path, "doc_id long, text string").select("doc_id", F.md5(T.text_or_empty("text")).alias("text"), "is_bad")
+    return audited.join(folder, "doc_id").select("doc_id", "text", "lang", "is_bad")
+
+
+@query("SELECT count(*) AS lines, count(*) FILTER (WHERE record_id % 3 = 0) AS bad_lines, count(*) FILTER (WHERE record_id % 3 <> 0) AS rows FROM refined_commands_filtered")
+def src_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of which every third is broken: the audited reader counts them, the lenient one leaves them out."""
+    path = shared_folder(spark, "lines")
+    whole = F.concat(F.lit('{"record_id": '), F.col("record_id").cast("string"))
+    lines = table(spark, sf_dir, "refined_commands_filtered").select(F.when(F.col("record_id") % 3 == 0, whole).otherwise(F.concat(whole, F.lit("}"))).alias("value"))
+    lines.write.text(path)
+    audit = readers.read_json_lines_audited(spark, path, "record_id long").agg(F.count(F.lit(1)).alias("lines"), F.count_if("is_bad").alias("bad_lines"))
+    return audit.join(readers.read_json_lines(spark, path, "record_id long").agg(F.count(F.lit(1)).alias("rows")))
+
+
+#: What CSV can't hold: line ends, and blanks at the ends.
+NOT_IN_CSV = rf"^[{T.WS}]|[{T.WS}]$|[\n\r]"
+
+
+@query(f"SELECT coalesce(text, '') AS text, 'uncategorized' AS category, 0.0::DOUBLE AS quality_score, '' AS timestamp FROM documents WHERE text IS NULL OR NOT regexp_matches(text, '{NOT_IN_CSV}')")
+def snk_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four columns of an export as CSV and back; texts that this format can't hold are left out."""
+    path = shared_folder(spark, "csv")
+    rows = table(spark, sf_dir, "documents").filter(F.col("text").isNull() | ~F.col("text").rlike(NOT_IN_CSV))
+    writers.write_csv(writers.export_rows(rows), path)
+    return spark.read.schema("text string, category string, quality_score double, timestamp string").option("header", "true").option("escape", '"').csv(path).fillna("", ["text", "timestamp"])
 
-    from textweir.session import ensure_checkpoint_dir
 
-    path = f"{ensure_checkpoint_dir(spark)}/export-{uuid.uuid4().hex}"
-    writers.write_by_category(exports(spark, sf_dir).filter("category is not null").select("record_id", "category", "quality_score"), path)
-    return spark.read.schema("record_id long, quality_score double, category string").json(f"{path}/separate").groupBy("category").agg(F.count(F.lit(1)).alias("records"))
+@query("SELECT sample_id, is_toxic FROM (SELECT sample_id, toxicity_analysis.is_toxic AS is_toxic FROM inappropriate_filter_jason) WHERE is_toxic IS NOT NULL")
+def snk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Safe and toxic verdicts written in one pass, and read from both folders."""
+    path = shared_folder(spark, "split")
+    rows = table(spark, sf_dir, "inappropriate_filter_jason").select("sample_id", F.col("toxicity_analysis.is_toxic").alias("is_toxic")).filter("is_toxic is not null")
+    writers.write_split(rows, "is_toxic", path)
+    return spark.read.schema("sample_id long, is_toxic boolean").json(path)
+
+
+@query("SELECT 'first' AS run, count(*) AS rows, 0.3::DOUBLE AS threshold FROM documents")
+def snk_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's folder: rows and one row of metadata."""
+    path = shared_folder(spark, "runs")
+    writers.write_run(docs(spark, sf_dir).select("doc_id"), path, "first", threshold=0.3)
+    return spark.read.schema("run string, rows long, threshold double").json(f"{path}/first/metadata")
+
+
+@query("SELECT sample_id, piece_no, CASE WHEN len(tokens) > 0 THEN md5(array_to_string(tokens, ' ')) END AS text, CASE WHEN len(tokens) > 0 THEN len(tokens)::BIGINT END AS token_count FROM climblab_sample")
+def snk_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "climblab_sample")
+    return writers.training_records(rows, keep=("sample_id", "piece_no")).select("sample_id", "piece_no", F.md5("text").alias("text"), "token_count")
+
+
+@query("SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total FROM embeddings")
+def snk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "vectors")
+    writers.write_vectors(vectors(spark, sf_dir).select("id", "vector"), path)
+    total = F.aggregate(F.transform("vector", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return spark.read.parquet(path).select("id", F.round(total, 5).alias("total"))
+
+
+@query(f"WITH {PIECES}, k AS (SELECT cluster_id FROM c GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT sample_id, piece_no, n::BIGINT AS n FROM c WHERE cluster_id = (SELECT cluster_id FROM k) AND n BETWEEN 80 AND 3000")
+def snk_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest cluster, within token limits, written and read again."""
+    path = shared_folder(spark, "cluster")
+    rows = pieces(spark, sf_dir).withColumn("cluster_id", F.coalesce("cluster_id", F.lit("unknown")))
+    largest = rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("records")).orderBy(F.desc("records"), "cluster_id").first()
+    writers.write_group(rows, path, "cluster_id", largest[0] if largest else "", "n", least=80, most=3000)
+    return spark.read.schema("sample_id long, piece_no int, n long").json(path)
+
+
+@query("WITH w AS (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS records FROM events GROUP BY ALL) SELECT * FROM w WHERE start + INTERVAL 3 HOUR <= (SELECT max(ts) FROM events)")
+def str_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by hour over a stream; a window comes out once the watermark, two hours behind, has passed it."""
+    path = f"{sf_dir}/events.parquet"
+    s = streams.read_files(spark, path, spark.read.parquet(path).schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.run_available(streams.windowed_counts(s, "ts", "event_type"))
 
 
 @query(f"WITH {FEATURES} SELECT count(DISTINCT sha256({normal_sql('t')})) AS distinct_texts FROM d")
@@ -1019,10 +1318,6 @@ def agg_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def str_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies dropped as files arrive."""
-    import uuid
-
-    from textweir.session import ensure_checkpoint_dir
-
     path = f"{sf_dir}/documents.parquet"
     s = streams.read_files(spark, path, spark.read.parquet(path).schema).select("doc_id", "text")
     return streams.drop_near_copies(s, "doc_id", "text", f"{ensure_checkpoint_dir(spark)}/near-{uuid.uuid4().hex}").select("doc_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +25,12 @@ def read_json_lines_audited(spark: SparkSession, path: str, schema: str | T.Stru
     return parsed.select("r.*").withColumn("is_bad", F.col("_bad").isNotNull()).drop("_bad")
 
 
-def read_folder(spark: SparkSession, path: str, schema: str | T.StructType, text_key: str = "text") -> DataFrame:
-    """A folder of JSON lines, subfolders included, compression by file name: text, id and file."""
+def read_folder(spark: SparkSession, path: str, schema: str | T.StructType, text_key: str = "text", default_metadata: Mapping[str, str] | None = None) -> DataFrame:
+    """A folder of JSON lines, subfolders included, compression by file name: text, file and the columns of ``default_metadata``, which fill nulls."""
     rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("mode", "DROPMALFORMED").json(path)
     out = rows.withColumnRenamed(text_key, "text") if text_key != "text" else rows
+    for name, value in (default_metadata or {}).items():
+        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in out.columns else F.lit(value))
     return out.withColumn("file", F.input_file_name())
 
 
