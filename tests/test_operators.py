@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textweir.operators import dedup, scoring, similarity, stats
+from textweir.functions import text as T
+from textweir.operators import dedup, scorers, scoring, similarity, stats
 from textweir.plans import pipeline
+from textweir.queries import core
 from textweir.sources import readers, writers
 from textweir.streaming import streams
 
@@ -238,3 +240,66 @@ def test_stream_of_near_copies(spark, tmp_path):
         spark.createDataFrame(rows, "id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     s = streams.read_files(spark, str(tmp_path / "in"), "id long, text string", files_a_batch=1)
     assert sorted(r["id"] for r in streams.drop_near_copies(s, "id", "text", str(tmp_path / "work")).collect()) in ([1, 3, 5], [3, 4, 5])
+
+
+def test_scorers_fall_back(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (4, "c"), (4, "c")], "id long, text string").withColumn("score", F.lit("clash"))
+
+    def length():
+        return lambda texts: [float(len(t)) for t in texts]
+
+    def fails_on_c():
+        def score(texts):
+            if "c" in texts:
+                raise ValueError
+            return [1.0] * len(texts)
+
+        return score
+
+    def got(out):
+        return sorted((r["id"], r["score"], r["scored"]) for r in out.collect())
+
+    assert got(scorers.scores(df, "id", "text", length)) == [(1, 3.0, True), (2, 0.0, True), (3, 0.0, True), (4, 1.0, True), (4, 1.0, True)]
+    assert {x[1:] for x in got(scorers.scores(df, "id", "text", core.missing_model))} == {(0.5, False)}
+    one_each = got(scorers.scores(df, "id", "text", fails_on_c, fallback=0.3, rows=1))
+    assert one_each == [(1, 1.0, True), (2, 1.0, True), (3, 1.0, True), (4, 0.3, False), (4, 0.3, False)]
+    assert got(scorers.scores_where(df, F.col("text") == "c", "id", "text", length, otherwise=0.0)) == [(1, 0.0, False), (2, 0.0, False), (3, 0.0, False), (4, 1.0, True), (4, 1.0, True)]
+    assert scorers.scores(df.limit(0), "id", "text", length).count() == 0
+
+
+def test_exact_percentile(spark):
+    rng = np.random.default_rng(3)
+    for values in (rng.normal(size=3000), rng.integers(0, 5, 500).astype(float), np.array([2.5]), np.concatenate([np.zeros(1000), [1e12]])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double").repartition(3)
+        for q in (0.0, 0.25, 0.5, 0.75, 0.999, 1.0):
+            assert stats.exact_percentile(df, "v", q, bins=16, most=20) == pytest.approx(np.quantile(values, q), abs=1e-9)
+    assert stats.exact_percentile(df.limit(0), "v") is None
+    assert stats.percentile_filter(df.limit(0), "v").count() == 0
+
+
+def test_running_totals_over_spans(spark):
+    df = spark.range(1000).withColumn("f", F.col("id") % 3 == 0)
+    got = [tuple(r) for r in stats.running_totals(df, "id", "f", every=10, blocks_a_span=7).orderBy("block").collect()]
+    assert got == [(b, 10 * (b + 1), len(range(0, 10 * (b + 1), 3))) for b in range(100)]
+    assert stats.running_totals(df.limit(0), "id", "f").count() == 0
+
+
+def test_text_of_samples(spark):
+    turns = "array<struct<from: string, value: string>>"
+    c = spark.createDataFrame([([("u", " hi"), ("b", None), ("b", "there ")],), ([],), (None,)], f"conversations {turns}")
+    assert [r["text"] for r in T.sample_text(c).collect()] == ["hi there", "", ""]
+    two = spark.createDataFrame([("do", "done"), (None, "x"), (None, None)], "instruction string, output string")
+    assert [r["text"] for r in T.sample_text(two).collect()] == ["do done", "x", ""]
+    any_ = spark.createDataFrame([("a", 1, "b"), (None, 2, None)], "x string, n int, y string")
+    assert [r["text"] for r in T.sample_text(any_).collect()] == ["a b", ""]
+    k = spark.createDataFrame([(None, "g"), ("c", "g"), (None, None)], "cluster_id string, group string")
+    assert [r["c"] for r in k.select(T.cluster_of(k).alias("c")).collect()] == ["g", "c", "unknown"]
+
+
+def test_chain_without_a_scorer(spark):
+    long = "We explain the problem step by step. " * 8
+    df = spark.createDataFrame([(1, long), (2, "short"), (3, None), (4, "the cat sat on a mat and we saw it all day long. " * 3)], "id long, text string")
+    got = {r["id"]: r["rejected_at"] for r in pipeline.chain(df).collect()}
+    assert got[1] in (None, "diversity") and got[2] == got[3] == "word_count"
+    scored = df.withColumn("lp", F.lit(9.0)).withColumn("other", F.array(F.lit("x")))
+    assert {r["rejected_at"] for r in pipeline.chain(scored, log_perplexity="lp").collect()} <= {"perplexity", "word_count", "diversity"}

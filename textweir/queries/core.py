@@ -1120,19 +1120,33 @@ def stand_in():
 STAND_IN_SQL = "CASE WHEN n_words = 0 THEN 0.0::DOUBLE ELSE len(list_distinct(words))::DOUBLE / n_words END"
 
 
-@query(
-    f"""WITH {TFIDF_CTE}, {NEAREST_SQL}, {ENHANCED_SQL}, v AS (SELECT e.doc_id, e.reason IS NULL AS rule, e.quality_score, e.hints, b.s AS s, b.c AS c, {STAND_IN_SQL} AS m FROM e JOIN near USING (doc_id) JOIN f USING (doc_id)),
-  w AS (SELECT *, rule AND s >= {NEAR_DESCRIPTION}::DOUBLE AS near_ FROM v), y AS (SELECT *, near_ AND m >= 0.6::DOUBLE AS passed FROM w)
-  SELECT doc_id, passed, round(CASE WHEN passed THEN (quality_score + s + m) / 3 WHEN near_ THEN (quality_score + s) / 2 WHEN rule THEN quality_score ELSE 0 END, 6) AS combined_score,
+def _preselect_sql(model: bool) -> str:
+    passed = "near_ AND m >= 0.6::DOUBLE" if model else "near_"
+    mean = "(quality_score + s + m) / 3" if model else "(quality_score + s) / 2"
+    return f"""WITH {TFIDF_CTE}, {NEAREST_SQL}, {ENHANCED_SQL}, v AS (SELECT e.doc_id, e.reason IS NULL AS rule, e.quality_score, e.hints, b.s AS s, b.c AS c, {STAND_IN_SQL} AS m FROM e JOIN near USING (doc_id) JOIN f USING (doc_id)),
+  w AS (SELECT *, rule AND s >= {NEAR_DESCRIPTION}::DOUBLE AS near_ FROM v), y AS (SELECT *, {passed} AS passed FROM w)
+  SELECT doc_id, passed, round(CASE WHEN passed THEN {mean} WHEN near_ THEN (quality_score + s) / 2 WHEN rule THEN quality_score ELSE 0 END, 6) AS combined_score,
     CASE WHEN near_ THEN concat_ws(',', nullif(hints, ''), c) WHEN rule THEN hints ELSE '' END AS hints FROM y"""
-)
-def plan_combined_preselect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules, then the best description's TF-IDF similarity, then a scorer's confidence; here a stand-in scores."""
+
+
+def _preselected(spark: SparkSession, sf_dir: str, model: DataFrame | None) -> DataFrame:
     checks = featured(spark, sf_dir).select("doc_id", R.enhanced_checks().alias("c"))
-    model = scorers.scores(docs(spark, sf_dir), "doc_id", "text", stand_in).select("doc_id", "score")
-    rows = checks.select("doc_id", R.enhanced_preselect(F.col("c")).alias("rule")).join(nearest_description(spark, sf_dir), "doc_id").join(model, "doc_id")
-    out = rows.select("doc_id", pipeline.combined_preselect(F.col("rule"), F.col("similarity"), F.col("category"), NEAR_DESCRIPTION, F.col("score")).alias("p"))
-    return out.select("doc_id", "p.passed", r6(F.col("p.combined_score")).alias("combined_score"), F.array_join("p.hints", ",").alias("hints"))
+    rows = checks.select("doc_id", R.enhanced_preselect(F.col("c")).alias("rule")).join(nearest_description(spark, sf_dir), "doc_id")
+    rows = rows if model is None else rows.join(model, "doc_id")
+    p = pipeline.combined_preselect(F.col("rule"), F.col("similarity"), F.col("category"), NEAR_DESCRIPTION, None if model is None else F.col("score"))
+    return rows.select("doc_id", p.alias("p")).select("doc_id", "p.passed", r6(F.col("p.combined_score")).alias("combined_score"), F.array_join("p.hints", ",").alias("hints"))
+
+
+@query(_preselect_sql(False))
+def plan_combined_preselect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules, then the best description's TF-IDF similarity in place of a sentence encoder."""
+    return _preselected(spark, sf_dir, None)
+
+
+@query(_preselect_sql(True))
+def plan_three_preselect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules, then the best description's similarity, then a scorer's confidence; here a stand-in scores."""
+    return _preselected(spark, sf_dir, scorers.scores(docs(spark, sf_dir), "doc_id", "text", stand_in).select("doc_id", "score"))
 
 
 @query(
