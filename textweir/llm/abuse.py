@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import zstandard
@@ -261,25 +262,28 @@ def fit_abuse(rows: list[tuple[str, bool]], spec: AbuseSpec = AbuseSpec()) -> Ab
     """Fit dictionaries, curve and threshold on labelled texts; empty ones don't count. Works from the written examples alone too."""
     texts = [(windows_of(t), y) for t, y in rows]
     texts = [(w, y) for w, y in texts if w]
-    negative = [w for w, y in texts if not y]
-    positive = [w for w, y in texts if y]
+    # Windows hold no line feed and no disguise crosses one, so all of a text are undone at once.
+    bare = [undisguised("\n".join(w)).split("\n") for w, _ in texts]
+    negative = [w for w, (_, y) in zip(bare, texts) if not y]
+    positive = [w for w, (_, y) in zip(bare, texts) if y]
+    raw_negative = [w for w, y in texts if not y]
     rng = np.random.default_rng(spec.seed)
     side_n, side_p = rng.integers(0, 2, len(negative)), rng.integers(0, 2, len(positive))
     size = spec.dictionary_bytes
 
     def plain(side: int | None) -> list[str]:
-        own = [w for s, ws in zip(side_n, negative) if side is None or s == side for w in ws]
+        own = [w for s, ws in zip(side_n, raw_negative) if side is None or s == side for w in ws]
         return list(dict.fromkeys(own)) + ORDINARY_EXAMPLES
 
-    ordinary = [_compressor(_trained(plain(s), size)) for s in (0, 1)]
+    # The ordinary side stays the same for all turns.
+    ordinary = [cache(_compressor(_trained(plain(s), size))) for s in (0, 1)]
     toxic_now = [_compressor(_trained(TOXIC_EXAMPLES, size))] * 2
     weights = np.zeros(0)
-    unusual = _unusual([[undisguised(w) for w in ws] for ws in positive], negative)
+    unusual = _unusual(positive, raw_negative)
 
-    def judged(windows: list[str], other: int) -> tuple[np.ndarray, list[str]]:
-        """Features of the windows, and these without disguises."""
-        bare, lengths = _bare(windows, toxic_now[other], ordinary[other])
-        return _features(bare, lengths, toxic_now[other], ordinary[other]), bare
+    def judged(windows: list[str], other: int) -> np.ndarray:
+        """Features of windows without disguises, by the dictionaries of one half."""
+        return _features(windows, _lengths(windows, toxic_now[other], ordinary[other]), toxic_now[other], ordinary[other])
 
     for _ in range(spec.turns):
         # Lengths always come from dictionaries of the other half, as they will for unseen texts.
@@ -288,8 +292,7 @@ def fit_abuse(rows: list[tuple[str, bool]], spec: AbuseSpec = AbuseSpec()) -> Ab
             if not len(weights):
                 picked.append(first)
                 continue
-            f, bare = judged(ws, 1 - s)
-            picked.append([w for w, z in zip(bare, f @ weights[:-1] + weights[-1]) if z > spec.pick_above])
+            picked.append([w for w, z in zip(ws, judged(ws, 1 - s) @ weights[:-1] + weights[-1]) if z > spec.pick_above])
         toxic_now = [
             _compressor(_trained(TOXIC_EXAMPLES + list(dict.fromkeys(w for s, ws in zip(side_p, picked) if s == side for w in ws)), size))
             for side in (0, 1)
@@ -299,10 +302,10 @@ def fit_abuse(rows: list[tuple[str, bool]], spec: AbuseSpec = AbuseSpec()) -> Ab
             good = [w for s, ws in zip(side_n, negative) if s == side for w in ws]
             bad = [w for s, ws in zip(side_p, picked) if s == side for w in ws]
             if good:
-                x.append(judged(good, 1 - side)[0])
+                x.append(judged(good, 1 - side))
                 y.append(np.zeros(len(x[-1])))
             if bad:
-                x.append(judged(bad, 1 - side)[0])
+                x.append(judged(bad, 1 - side))
                 y.append(np.ones(len(x[-1])))
         for windows, value in ((TOXIC_EXAMPLES, 1), (ORDINARY_EXAMPLES, 0)):
             half = len(windows) // 2
@@ -315,9 +318,12 @@ def fit_abuse(rows: list[tuple[str, bool]], spec: AbuseSpec = AbuseSpec()) -> Ab
     # The threshold with the best F1 over whole texts.
     z_all = []
     for group, sides, label in ((negative, side_n, 0), (positive, side_p, 1)):
-        for s, ws in zip(sides, group):
-            f, _ = judged(ws, 1 - s)
-            z_all.append((float((f @ weights[:-1] + weights[-1]).max()), label))
+        for side in (0, 1):
+            own = [ws for s, ws in zip(sides, group) if s == side]
+            if own:
+                z = judged([w for ws in own for w in ws], 1 - side) @ weights[:-1] + weights[-1]
+                starts = np.cumsum([0, *(len(ws) for ws in own[:-1])])
+                z_all += [(float(v), label) for v in np.maximum.reduceat(z, starts)]
     threshold = _best_cut(z_all)
     final_t, final_o = TOXIC_EXAMPLES + list(dict.fromkeys(w for ws in picked for w in ws)), plain(None)
     return AbuseModel(_trained(final_t, size), _trained(final_o, size), weights, float(1 / (1 + np.exp(-threshold))))
