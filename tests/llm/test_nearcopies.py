@@ -1,11 +1,16 @@
 """Near copies against all pairs, with and without crowded buckets, and on edge rows."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from textweir.llm import nearcopies
 from textweir.llm.nearcopies import NearCopies, NearCopySpec, expand_pairs, near_copies, near_copy_classes, words
+from textweir.session import cut
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def brute(rows, spec):
@@ -47,6 +52,37 @@ def test_all_pairs(spark, seed, limit):
     assert found(spark, rows, spec) == brute(rows, spec)
 
 
+def test_all_pairs_of_crowded_buckets(spark):
+    spec = NearCopySpec(threshold=0.6, words_per_shingle=3, min_words=30, crowd_limit=1, max_bands=80)
+    rows = corpus(1)
+    assert found(spark, rows, spec) == brute(rows, spec)
+
+
+def test_copies_met_by_many_tasks_keep_no_band_rows(spark, monkeypatch):
+    rng, kept, cut = random.Random(9), [], nearcopies.cut
+    texts = [" ".join(f"{k}x{rng.randrange(400)}" for _ in range(40)) for k in range(10)]
+    df = spark.createDataFrame([(10 * i + k, t) for i in range(80) for k, t in enumerate(texts)], "id long, text string").repartition(80)
+    monkeypatch.setattr(nearcopies, "cut", lambda x: kept.append(cut(x)) or kept[-1])
+    monkeypatch.setattr(nearcopies, "_prefix_pairs", lambda *a: pytest.fail("no bucket has two different texts"))
+    near = near_copies(df, "id", "text", NearCopySpec(threshold=0.6, words_per_shingle=3, min_words=30))
+    # No two different texts share a band, so only the memberships go to disk, however many tasks met a text.
+    assert kept[0].count() == 800 and near.pairs.count() == 0
+    assert expand_pairs(near).count() == 10 * 80 * 79 // 2
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    def files():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count(".data")
+
+    before, setting = files(), spark.conf.get(CLEANUP)
+    df = cut(spark.range(20_000).repartition("id"))
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and df.count() == 20_000 and spark.conf.get(CLEANUP) == setting
+
+
 def test_default_is_five_words_at_four_fifths():
     spec = NearCopySpec()
     assert (spec.words_per_shingle, spec.threshold) == (5, 0.8)

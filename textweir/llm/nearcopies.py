@@ -6,14 +6,16 @@ Plan, for a collection far too large for pairwise comparison:
    pass gives ``(record, class)`` and, from ``bands * rows`` MinHash values,
    ``(band key, class)``. A task gives each class's keys once, so a third of all
    rows being one page costs one row a task.
-2. One shuffle by key. Band keys held by a single class (nearly all) are dropped on
-   its reduce side; what remains is checkpointed with the memberships.
+2. One shuffle by key. On its reduce side a class that several tasks met in a bucket
+   is reduced to one row, and band keys held by a single class (nearly all) are
+   dropped; what remains is checkpointed with the memberships, and the shuffle's files go.
 3. Each class is represented by its smallest record.
    One bit of each of 128 MinHash values makes a sketch; pairs whose sketches differ
    too much for the threshold, by nearly four standard deviations, aren't verified.
-4. Keys with at most ``bucket_limit`` classes give candidate pairs by an equi-join.
-   Classes in fuller buckets go through an exact prefix-filtered set join
-   instead, so no bucket is ever expanded pair by pair and no pair is lost.
+4. Keys give candidate pairs by an equi-join that compares the sketches at once, so
+   only likely pairs are ever written. Buckets of more than ``bucket_limit`` classes
+   are dealt out in blocks, so that no task has one alone. Classes in buckets of more
+   than ``crowd_limit`` go through an exact prefix-filtered set join instead.
 5. Candidates are verified on their full sets of word n-grams.
 
 Results: ``near_copy_classes`` (one row per record: class, links), ``near_copy_pairs``
@@ -55,8 +57,10 @@ class NearCopySpec:
     safe_similarity: float | None = None
     max_bands: int = 48
     seed: int = 20011
-    #: Classes in one bucket beyond which the exact prefix join takes over.
+    #: Classes in one bucket beyond which its pairs are made block by block, of 16 times as many classes.
     bucket_limit: int = 64
+    #: Classes in one bucket beyond which the exact prefix join takes over; its shingles take some twenty times the room of the texts.
+    crowd_limit: int = 131_072
 
     def most_differing_bits(self) -> int:
         """Differing bits of two sketches that a pair at the sought similarity exceeds about once in ten thousand times."""
@@ -273,38 +277,29 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, spec: NearCopySpec =
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     held = docs.mapInArrow(_pass_one(spec), "key long, fp long, record array<long>").repartition("key")
-    n = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    kept = cut(held.withColumn("n", n).filter("n > 1 or record is not null"))
+    # A class may be in a bucket once for each task that met it: equal rows are neighbours in this order, and all but one are dropped.
+    bucket, band = [F.col("key"), F.col("record").isNull()], F.col("record").isNull()
+    before = F.lag("fp").over(Window.partitionBy(*bucket).orderBy("fp"))
+    once = held.withColumn("before", before).filter(~band | F.col("before").isNull() | (F.col("before") != F.col("fp")))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*bucket))
+    kept = cut(once.withColumn("n", n).filter(~band | (F.col("n") > 1)).select("key", "fp", "record", "n"))
 
     one = [F.col("record")[i].alias(c) for i, c in enumerate(("fp2", "id", "sketch_a", "sketch_b"))]
     members = kept.filter("record is not null").select("fp", *one)
-    reps = members.groupBy("fp", "fp2").agg(F.min("id").alias("rep"), F.min("sketch_a").alias("sketch_a"), F.min("sketch_b").alias("sketch_b"))
+    reps = cut(members.groupBy("fp", "fp2").agg(F.min("id").alias("rep"), F.min("sketch_a").alias("sketch_a"), F.min("sketch_b").alias("sketch_b")))
     members = cut(members.select("id", "fp", "fp2").join(reps.select("fp", "fp2", "rep"), ["fp", "fp2"]).select("id", "rep"))
-    # A class may be in a bucket once for each task that met it, so ``n`` is an upper bound; the wide way is exact too.
-    shared = kept.filter("record is null").select("key", "fp", "n")
-    narrow = shared.filter(F.col("n") <= spec.bucket_limit)
-    a, b = narrow.alias("a"), narrow.alias("b")
-    found = (
-        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")))
-        .select(F.col("a.fp").alias("fa"), F.col("b.fp").alias("fb"))
-        .distinct()
-    )
-    by_fp = reps.select("fp", "rep")
-
-    def end(x: str) -> DataFrame:
-        return reps.select(F.col("fp").alias(f"f{x}"), F.col("rep").alias(f"r{x}"), *(F.col(f"sketch_{c}").alias(f"{c}{x}") for c in "ab"))
-
+    shared = kept.filter("record is null").select("key", "fp", "n").join(reps.select("fp", "rep", "sketch_a", "sketch_b"), "fp")
+    blocks = F.when(F.col("n") > spec.bucket_limit, F.ceil(F.col("n") / (16 * spec.bucket_limit))).otherwise(1).cast("int")
+    dealt = shared.filter(F.col("n") <= spec.crowd_limit).withColumn("blocks", blocks)
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    a = dealt.select("key", own, F.col("rep").alias("ra"), F.col("sketch_a").alias("aa"), F.col("sketch_b").alias("ba"))
+    b = dealt.select("key", each, F.col("rep").alias("rb"), F.col("sketch_a").alias("ab"), F.col("sketch_b").alias("bb"))
     differing = F.bit_count(F.expr("aa ^ ab")) + F.bit_count(F.expr("ba ^ bb"))
-    candidates = (
-        found.join(end("a"), "fa")
-        .join(end("b"), "fb")
-        .filter(differing <= spec.most_differing_bits())
-        .select(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"))
-    )
-    wide = shared.filter(F.col("n") > spec.bucket_limit)
-    if not wide.isEmpty():
-        in_wide = wide.select("fp").distinct().join(by_fp, "fp").select("rep")
-        candidates = candidates.union(_prefix_pairs(_texts(docs, in_wide), spec)).distinct()
+    candidates = a.join(b, ["key", "block"]).filter((F.col("ra") < F.col("rb")) & (differing <= spec.most_differing_bits())).select("ra", "rb").distinct()
+    if not kept.filter(F.col("record").isNull() & (F.col("n") > spec.crowd_limit)).isEmpty():
+        wide = shared.filter(F.col("n") > spec.crowd_limit)
+        candidates = candidates.union(cut(_prefix_pairs(_texts(docs, wide.select("rep").distinct()), spec))).distinct()
     return NearCopies(members, _verified(docs, cut(candidates), spec))
 
 
