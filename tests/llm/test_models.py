@@ -81,6 +81,30 @@ def test_disguises_are_taken_off():
         assert abuse.undisguised(raw) == bare
 
 
+def test_disguises_are_sought_where_there_are_traces(monkeypatch):
+    given, own = [], abuse.undisguised
+    monkeypatch.setattr(abuse, "undisguised", lambda t: given.append(t) or own(t))
+    odd = ["sh1t happens", "a$$", "f u c k", "f.u.c.k off", "a 0.0.0 b", "fuuuck", "i\u200bdiot", "no 12", "٣ to 0", "so!", "İi", "x€y", "ok 0 0", "plain words, nothing else", "0", "50", "a_b_c d", "ÿ÷ÿ", "x 😀😀😀 y"]
+    windows = odd + [w for t, _ in labelled("abuse")[0] for w in abuse.windows_of(t)]
+    assert abuse.undisguised_lines(windows) == [own(w) for w in windows] and abuse.undisguised_lines([]) == []
+    # The patterns, which are slow, see few of the windows.
+    assert sum(len(t.split("\n")) for t in given) < 0.5 * len(windows)
+
+
+def test_a_run_of_words_is_compressed_once(monkeypatch):
+    train, test = labelled("abuse")
+    m = abuse.fit_abuse([(t, a == ["yes"]) for t, a in train if len(a) == 1])
+    texts = [t for t, _ in test][:100]
+    first, seen, one = m.scores(texts), [], abuse._Compressor._all
+    monkeypatch.setattr(abuse._Compressor, "_all", lambda self, x: seen.extend(x) or one(self, x))
+    again = m.scores(texts)
+    windows = {w.encode() for t in texts for w in abuse.undisguised_lines(abuse.windows_of(t))}
+    # The second time only whole windows are compressed, with the same scores.
+    assert set(seen) <= windows and (first[0] == again[0]).all() and first[1] == again[1]
+    monkeypatch.setattr(abuse, "MOST_KNOWN", 0)
+    assert (m.scores(texts)[0] == first[0]).all()
+
+
 def test_every_window_is_scored():
     train, test = labelled("abuse")
     m = abuse.fit_abuse([(t, a == ["yes"]) for t, a in train if len(a) == 1])
